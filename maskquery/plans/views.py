@@ -1,7 +1,7 @@
 """Derived views: segmentation-shaped inputs computed from the given tables, for Spark and for plain SQL.
 
 Every view reads its whole table. Samples are ranges of order keys, so their number grows with the data
-while one sample keeps a fixed frame of 896 x 1024 pixels.
+while one sample keeps a fixed frame of 448 x 512 pixels.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ TABLES = (
     "labels conversations"
 ).split()
 
-FRAME_H = 896
-FRAME_W = 1024
+FRAME_H = 448
+FRAME_W = 512
 
 # Text both dialects understand.
 COMMON = {
-    # one candidate grain per (order, line), placed on a grid of 56 x 64 cells with a pitch of 16 px
+    # one candidate grain per (order, line), placed on a grid of 56 x 64 cells with a pitch of 8 px
     "fx_grains": """
  SELECT CAST(FLOOR(l_orderkey / 512.0e0) AS INT) AS sample_id,
         CAST((l_orderkey % 512) * 7 + l_linenumber AS INT) AS inst_id,
@@ -29,14 +29,14 @@ COMMON = {
  FROM lineitem GROUP BY l_orderkey, l_linenumber""",
     "fx_placed": """
  SELECT sample_id, inst_id, sk, q, disc, price,
-        CAST(((inst_id - 1) % 64) * 16 + 2 AS INT) AS x0,
-        CAST(FLOOR((inst_id - 1) / 64.0e0) * 16 + 2 AS INT) AS y0,
-        CAST(6 + q % 18 AS INT) AS w, CAST(6 + sk % 18 AS INT) AS h
+        CAST(((inst_id - 1) % 64) * 8 + 1 AS INT) AS x0,
+        CAST(FLOOR((inst_id - 1) / 64.0e0) * 8 + 1 AS INT) AS y0,
+        CAST(3 + q % 10 AS INT) AS w, CAST(3 + sk % 10 AS INT) AS h
  FROM fx_grains""",
     "fx_boxes": """
  SELECT sample_id, 'gt' AS side, inst_id, x0, y0, w, h, CAST(NULL AS DOUBLE) AS score FROM fx_placed
  UNION ALL
- SELECT sample_id, 'dt' AS side, inst_id, CAST(x0 + sk % 7 - 3 AS INT) AS x0, CAST(y0 + q % 7 - 3 AS INT) AS y0,
+ SELECT sample_id, 'dt' AS side, inst_id, CAST(x0 + sk % 5 - 2 AS INT) AS x0, CAST(y0 + q % 5 - 2 AS INT) AS y0,
         w, h, CASE WHEN q = 50 THEN NULL ELSE CAST(price % 1009 AS DOUBLE) / 1009.0e0 END AS score
  FROM fx_placed WHERE disc >= 0.01e0""",
     "fx_frames": f"""
@@ -46,12 +46,12 @@ COMMON = {
  SELECT sample_id, side, inst_id, score, GREATEST(x0, 0) AS x0, GREATEST(y0, 0) AS y0,
         LEAST(x0 + w, {FRAME_W}) AS x1, LEAST(y0 + h, {FRAME_H}) AS y1
  FROM fx_boxes WHERE LEAST(x0 + w, {FRAME_W}) > GREATEST(x0, 0) AND LEAST(y0 + h, {FRAME_H}) > GREATEST(y0, 0)""",
-    # semantic paint jobs: whole box as boundary (2), box shrunk by 2 px as interior (1), interior painted last
+    # semantic paint jobs: whole box as boundary (2), box shrunk by 1 px as interior (1), interior painted last
     "fx_paint": """
  SELECT sample_id, 2 AS cls, 1 AS pass, x0, y0, x1, y1 FROM fx_cboxes WHERE side = 'gt'
  UNION ALL
- SELECT sample_id, 1 AS cls, 2 AS pass, x0 + 2 AS x0, y0 + 2 AS y0, x1 - 2 AS x1, y1 - 2 AS y1
- FROM fx_cboxes WHERE side = 'gt' AND x1 - x0 > 4 AND y1 - y0 > 4""",
+ SELECT sample_id, 1 AS cls, 2 AS pass, x0 + 1 AS x0, y0 + 1 AS y0, x1 - 1 AS x1, y1 - 1 AS y1
+ FROM fx_cboxes WHERE side = 'gt' AND x1 - x0 > 2 AND y1 - y0 > 2""",
     "fx_trials": """
  SELECT CONCAT('run_', CAST(user_id AS STRING)) AS run,
    CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS iteration,
