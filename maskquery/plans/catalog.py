@@ -1,4 +1,4 @@
 """All registered queries; importing a family registers it."""
 
-from maskquery.plans import graphs, scoring  # noqa: F401
+from maskquery.plans import graphs, scoring, tiling  # noqa: F401
 from maskquery.plans.registry import ORACLES, QUERIES  # noqa: F401
