@@ -79,7 +79,7 @@ def main(names):
             except Exception as e:  # noqa: BLE001
                 msg, n, ts, td = "ERROR " + str(e)[:1500], 0, 0, 0
             bad += msg is not None
-            print(f"{'OK ' if msg is None else 'BAD'} {q} rows={n} spark={ts:.1f}s duck={td:.1f}s {'' if q in os_ else '[rows only]'} {msg or ''}", flush=True)
+            print(f"{'OK ' if msg is None else 'BAD'} {q} rows={n} spark={ts:.1f}s duck={td:.1f}s {'' if q in os_ else '[rows only]'} {(msg or '')[:700]}", flush=True)
     print("bad:", bad)
 
 
