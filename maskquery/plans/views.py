@@ -57,14 +57,6 @@ COMMON = {
  SELECT CAST(FLOOR(vec_id / 75.0e0) AS INT) AS section_id, CONCAT('b', CAST(vec_id % 3 AS STRING)) AS band,
    CAST(y + 8 * FLOOR(CAST(FLOOR(vec_id / 3.0e0) AS INT) % 25 / 5.0e0) AS INT) AS y,
    CAST(x + 8 * (CAST(FLOOR(vec_id / 3.0e0) AS INT) % 5) AS INT) AS x, v FROM fx_tile_px""",
-    # three class scores for 4 x 4 windows at stride 2 over every tile
-    "fx_probs": """
- SELECT t.vec_id AS sample_id, w.y0, w.x0, t.y, t.x, c.cls,
-   CAST((t.v + w.y0 * 7 + w.x0 * 13 + c.cls * 29) % 100 AS DOUBLE) / 100.0e0 AS p
- FROM fx_tile_px t JOIN fx_wins w ON t.y >= w.y0 AND t.y < w.y0 + 4 AND t.x >= w.x0 AND t.x < w.x0 + 4
- JOIN (SELECT * FROM (VALUES (0), (1), (2)) v(cls)) c ON c.cls >= 0""",
-    "fx_wins": """
- SELECT * FROM (VALUES (0, 0), (0, 2), (0, 4), (2, 0), (2, 2), (2, 4), (4, 0), (4, 2), (4, 4)) v(y0, x0)""",
     "fx_trials": """
  SELECT CONCAT('run_', CAST(user_id AS STRING)) AS run,
    CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS iteration,
@@ -100,6 +92,12 @@ COMMON = {
 }
 
 SPARK = {
+    # three class scores for 4 x 4 windows at stride 2 over every tile
+    "fx_probs": """
+ SELECT vec_id AS sample_id, y0, x0, y, x, cls, CAST((v + y0 * 7 + x0 * 13 + cls * 29) % 100 AS DOUBLE) / 100.0e0 AS p
+ FROM fx_tile_px LATERAL VIEW explode(array(0, 2, 4)) a AS y0 LATERAL VIEW explode(array(0, 2, 4)) b AS x0
+  LATERAL VIEW explode(array(0, 1, 2)) c AS cls
+ WHERE y >= y0 AND y < y0 + 4 AND x >= x0 AND x < x0 + 4""",
     "fx_runs": """
  SELECT sample_id, side, inst_id, score, y, x0, x1 FROM fx_cboxes LATERAL VIEW explode(sequence(y0, y1 - 1)) t AS y""",
     "fx_tile_px": """
@@ -109,6 +107,14 @@ SPARK = {
 }
 
 DUCK = {
+    # three class scores for 4 x 4 windows at stride 2 over every tile
+    "fx_probs": """
+ SELECT t.vec_id AS sample_id, w.y0, w.x0, t.y, t.x, c.cls,
+   CAST((t.v + w.y0 * 7 + w.x0 * 13 + c.cls * 29) % 100 AS DOUBLE) / 100.0e0 AS p
+ FROM fx_tile_px t JOIN fx_wins w ON t.y >= w.y0 AND t.y < w.y0 + 4 AND t.x >= w.x0 AND t.x < w.x0 + 4
+ JOIN (SELECT * FROM (VALUES (0), (1), (2)) v(cls)) c ON c.cls >= 0""",
+    "fx_wins": """
+ SELECT * FROM (VALUES (0, 0), (0, 2), (0, 4), (2, 0), (2, 2), (2, 4), (4, 0), (4, 2), (4, 4)) v(y0, x0)""",
     "fx_runs": """
  SELECT sample_id, side, inst_id, score, CAST(UNNEST(RANGE(y0, y1)) AS INT) AS y, x0, x1 FROM fx_cboxes""",
     "fx_pix": """
