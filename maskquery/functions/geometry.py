@@ -82,7 +82,7 @@ def translate(rings: Column, dx: Column, dy: Column) -> Column:
 
 
 def flip_y(rings: Column) -> Column:
-    return map_points(rings, lambda p: point(p["x"], -p["y"]))
+    return map_points(rings, lambda p: point(p["x"], F.lit(0.0) - p["y"]))
 
 
 def _clip_half(pts: Column, edge: Column) -> Column:
@@ -122,9 +122,21 @@ def clip_ring(ring: Column, minx: Column, miny: Column, maxx: Column, maxy: Colu
 
 
 def clip_rings(rings: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    """Polygon cut to a rectangle: null without an outer ring; holes are cut on their own and vanish when empty."""
+    """Polygon cut to a rectangle: null without an outer ring; holes are cut on their own and vanish when empty.
+
+    A polygon that lies inside the rectangle is passed on as it is, without touching its sides.
+    """
+    xs = F.transform(F.get(rings, F.lit(0)), lambda p: p["x"])
+    ys = F.transform(F.get(rings, F.lit(0)), lambda p: p["y"])
+    inside = (F.array_min(xs) >= minx) & (F.array_max(xs) <= maxx) & (F.array_min(ys) >= miny) & (F.array_max(ys) <= maxy)
     cut = F.transform(rings, lambda r: clip_ring(r, minx, miny, maxx, maxy))
     kept = F.transform(
         F.array(cut), lambda c: F.when(F.size(F.get(c, F.lit(0))) > 0, F.filter(c, lambda r: F.size(r) > 0))
     )
-    return F.when(F.size(rings) > 0, F.get(kept, F.lit(0)))
+    whole = inside & (F.size(F.get(rings, F.lit(0))) >= 4) & (distinct_points(F.get(rings, F.lit(0))) >= 3)
+    return F.when(whole, F.transform(rings, close_ring)).when(F.size(rings) > 0, F.get(kept, F.lit(0)))
+
+
+def clipped(rings: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+    """Generator of the non-null ``clip_rings``: drops empty results and computes each polygon once."""
+    return F.explode(F.filter(F.array(clip_rings(rings, minx, miny, maxx, maxy)), lambda r: r.isNotNull())).alias("rings")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from maskquery.functions import geometry as GE
 from maskquery.operators.graph import label_components
 from maskquery.operators.numbering import block_numbered
 from maskquery.operators.runs import merge_runs, paint
+from maskquery.session import cut_lineage
 
 
 def with_bbox(polys: DataFrame) -> DataFrame:
@@ -59,15 +61,15 @@ def to_image_space(polys: DataFrame) -> DataFrame:
 
 def clip_features(polys: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
     """Features cut to one rectangle; those without an outer ring left are dropped."""
-    rings = GE.clip_rings(F.col("rings"), *[F.lit(float(v)) for v in (minx, miny, maxx, maxy)])
-    return polys.withColumn("rings", rings).where("rings IS NOT NULL")
+    rings = GE.clipped(F.col("rings"), *[F.lit(float(v)) for v in (minx, miny, maxx, maxy)])
+    return polys.select(*[c for c in polys.columns if c != "rings"], rings)
 
 
 def clip_to_frame(polys: DataFrame, frames: DataFrame) -> DataFrame:
     """Features cut to ``(0, 0, width, height)`` of their sample; zero area is dropped."""
     j = polys.join(frames, "sample_id")
-    cut = j.withColumn("rings", GE.clip_rings(F.col("rings"), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height")))
-    return cut.where("rings IS NOT NULL").select(*polys.columns).where(GE.polygon_area(F.col("rings")) > 0)
+    cut = GE.clipped(F.col("rings"), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("height"))
+    return j.select(*[c for c in polys.columns if c != "rings"], cut).where(GE.polygon_area(F.col("rings")) > 0)
 
 
 def clip_to_patches(polys: DataFrame, patches: DataFrame, cell: float) -> DataFrame:
@@ -81,8 +83,8 @@ def clip_to_patches(polys: DataFrame, patches: DataFrame, cell: float) -> DataFr
     j = bbox_pairs(a, p, ["sample_id"], cell)
     b = [F.col(f"b.{n}") for n in ("minx", "miny", "maxx", "maxy")]
     keep = [F.col(f"b.{c}").alias(c) for c in patches.columns if c != "sample_id"]
-    cut = j.select("sample_id", *keep, F.col("a.feature_id").alias("feature_id"), GE.clip_rings(F.col("a.rings"), *b).alias("rings"))
-    return cut.where(F.col("rings").isNotNull() & (GE.distinct_points(F.col("rings")[0]) >= 3))
+    cut = j.select("sample_id", *keep, F.col("a.feature_id").alias("feature_id"), GE.clipped(F.col("a.rings"), *b))
+    return cut.where(GE.distinct_points(F.col("rings")[0]) >= 3)
 
 
 def region_coverage(polys: DataFrame, regions: DataFrame, cell: float) -> DataFrame:
@@ -188,7 +190,8 @@ def rasterize(polys: DataFrame, frames: DataFrame, boundary_width: float, flip:
     e = _edges(polys, ["sample_id", "feature_id"])
     t = lambda c, s=1: (F.col(c).cast("int") * s).cast("double").alias(c)
     e = e.select(*keys, t("ax"), t("ay", -1 if flip else 1), t("bx"), t("by", -1 if flip else 1))
-    full = fill_inclusive(e, keys)
+    e = cut_lineage(e)
+    full = cut_lineage(fill_inclusive(e, keys))
     near = _near(e, keys, boundary_width)
     lit = lambda p, c: [F.lit(p).alias("pass"), F.when(F.col("ring") == 0, c).otherwise(F.lit(0)).alias("cls")]
     # outer rings lose the strip along their sides, holes gain it
@@ -239,21 +242,25 @@ def segmentation_to_polygons(anns: DataFrame) -> DataFrame:
 def trace_rings(label_runs: DataFrame, keys: list[str], flip: bool = True) -> DataFrame:
     """Outline rings of each label: outer ring first, then holes, along pixel borders.
 
-    The sides are chained per label, whose polygon is one value of the result anyway.
+    A label's runs are gathered in one row, as its polygon is one value of the result anyway, and chained there.
     """
     key_types = ", ".join(f"{k} {label_runs.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{key_types}, rings array<array<struct<x:double,y:double>>>, sides int"
     sign = -1.0 if flip else 1.0
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings, sides = _chain(pdf[["y", "x0", "x1"]].to_numpy(np.int64))
-        out = [[{"x": float(x), "y": sign * float(y)} for x, y in r] for r in rings]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "rings": [out], "sides": [sides]})
+    def trace(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            traced = [_chain([(r["y"], r["x0"], r["x1"]) for r in runs]) for runs in pdf["runs"]]
+            out = pdf[keys].copy()
+            out["rings"] = [[[{"x": float(x), "y": sign * y + 0.0} for x, y in r] for r in rings] for rings, _ in traced]
+            out["sides"] = [n for _, n in traced]
+            yield out
 
-    return label_runs.select(*keys, "y", "x0", "x1").groupBy(*keys).applyInPandas(trace, schema)
+    masks = label_runs.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
+    return masks.mapInPandas(trace, schema)
 
 
-def _chain(runs: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
+def _chain(runs: list[tuple[int, int, int]]) -> tuple[list[list[tuple[int, int]]], int]:
     """Closed rings around a set of runs, pixels on the right hand; corners only. Also the number of unit sides."""
     cells: dict[int, set[int]] = {}
     for y, a, b in runs:
@@ -306,8 +313,6 @@ def _chain(runs: np.ndarray) -> tuple[list[list[tuple[int, int]]], int]:
 
 def vectorize_components(runs: DataFrame, class_value: int, min_area: int = 0, flip: bool = True) -> DataFrame:
     """8-connected components of a pixel set as polygons with component id, class and pixel area."""
-    from maskquery.session import cut_lineage
-
     labels = cut_lineage(label_components(runs, connectivity=2))
     area = labels.groupBy("sample_id", "inst_id").agg(F.sum(F.col("x1") - F.col("x0")).cast("long").alias("pixel_area"))
     big = area.where(F.col("pixel_area") >= min_area)

@@ -286,10 +286,13 @@ def i12_polygons_to_labels(spark, sf):
  e0 AS (SELECT a.sample_id, a.id AS a, b.id AS b FROM r a JOIN r b ON a.sample_id = b.sample_id AND b.y = a.y + 1 AND a.x0 < b.x1 + 1 AND b.x0 < a.x1 + 1),
  edges AS (SELECT * FROM e0 UNION ALL SELECT sample_id, b, a FROM e0), """
     + CC
-    + """, px AS (SELECT r.sample_id, cc.comp, r.y, CAST(UNNEST(RANGE(x0, x1)) AS INT) AS x FROM r JOIN cc ON cc.sample_id = r.sample_id AND cc.id = r.id),
- k AS (SELECT sample_id, comp, ROW_NUMBER() OVER (PARTITION BY sample_id ORDER BY comp) AS component_id FROM (SELECT DISTINCT sample_id, comp FROM cc)),
- nb AS (SELECT p.sample_id, p.comp, COUNT(*) AS joined FROM px p JOIN px q ON q.sample_id = p.sample_id AND ((q.y = p.y AND q.x = p.x + 1) OR (q.x = p.x AND q.y = p.y + 1)) GROUP BY 1, 2),
- ar AS (SELECT sample_id, comp, COUNT(*) AS pixel_area FROM px GROUP BY 1, 2)
+    + """, k AS (SELECT sample_id, comp, ROW_NUMBER() OVER (PARTITION BY sample_id ORDER BY comp) AS component_id FROM (SELECT DISTINCT sample_id, comp FROM cc)),
+ nb AS (SELECT sample_id, comp, SUM(n) AS joined FROM (
+   SELECT r.sample_id, cc.comp, x1 - x0 - 1 AS n FROM r JOIN cc ON cc.sample_id = r.sample_id AND cc.id = r.id
+   UNION ALL
+   SELECT a.sample_id, cc.comp, LEAST(a.x1, b.x1) - GREATEST(a.x0, b.x0) FROM r a JOIN r b ON a.sample_id = b.sample_id AND b.y = a.y + 1
+     AND a.x0 < b.x1 AND b.x0 < a.x1 JOIN cc ON cc.sample_id = a.sample_id AND cc.id = a.id) GROUP BY 1, 2),
+ ar AS (SELECT r.sample_id, cc.comp, CAST(SUM(x1 - x0) AS BIGINT) AS pixel_area FROM r JOIN cc ON cc.sample_id = r.sample_id AND cc.id = r.id GROUP BY 1, 2)
 SELECT k.sample_id, CAST(k.component_id AS INT) AS component_id, 1 AS class_value, ar.pixel_area, CAST(ar.pixel_area AS DOUBLE) AS poly_area, CAST(4 * ar.pixel_area - 2 * COALESCE(nb.joined, 0) AS INT) AS sides
 FROM k JOIN ar USING (sample_id, comp) LEFT JOIN nb USING (sample_id, comp) WHERE ar.pixel_area >= 4""",
 )
