@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import threading
 import time
 
 import duckdb
@@ -47,9 +48,12 @@ def check(spark, con, sf_dir, fn, sql):
     t1 = time.time()
     if sql is None:
         return None if got else "no rows", len(got), t1 - t0, 0.0
+    timer = threading.Timer(60, con.interrupt)
+    timer.start()
     cur = con.execute(sql)
     want_cols, want = rows_of([d[0] for d in cur.description], cur.fetchall())
     t2 = time.time()
+    timer.cancel()
     msg = None
     if got_cols != want_cols:
         msg = f"columns {got_cols} vs {want_cols}"
