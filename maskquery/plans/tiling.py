@@ -277,3 +277,17 @@ def j13_fingerprint(spark, sf):
         ).alias("s"),
     )
     return samples.select("c_custkey", fold_fingerprint(F.array("s"), "train", 1024, 512, 2).alias("fp"))
+
+
+@query(
+    "l4_patch_grid_udtf",
+    f"""SELECT section_id, y0, LEAST(y0 + 1024, height) AS y1, x0, LEAST(x0 + 1024, width) AS x1
+FROM (SELECT *, CAST(UNNEST({duck_starts('width', 1024, 1024)}) AS INT) AS x0
+      FROM (SELECT *, CAST(UNNEST({duck_starts('height', 1024, 1024)}) AS INT) AS y0 FROM fx_sections))""",
+)
+def l4_patch_grid_udtf(spark, sf):
+    from maskquery.functions.tables import register
+
+    register(spark)
+    view(spark, sf, "fx_sections").createOrReplaceTempView("sections_for_grid")
+    return spark.sql("SELECT s.section_id, g.* FROM sections_for_grid s, LATERAL patch_grid(s.height, s.width, 1024, 1024) g")

@@ -92,6 +92,13 @@ COMMON = {
 }
 
 SPARK = {
+    # image and mask files of one section per customer
+    "fx_files": """
+ SELECT path, CAST(c_custkey AS BIGINT) AS pos FROM customer LATERAL VIEW explode(array(
+   CONCAT('/d/img/', c_name, '_PPL', CASE WHEN c_nationkey % 2 = 0 THEN '.tif' ELSE '.TIFF' END),
+   CONCAT('/d/img/', c_name, '_PPX1', CASE WHEN c_nationkey % 2 = 0 THEN '.tif' ELSE '.TIFF' END),
+   CONCAT('/d/mask/', c_name, '_labels', CASE WHEN c_acctbal > 0 THEN '.tif' ELSE '.txt' END),
+   CONCAT('/d/mask/', c_name, '_labels.tiff'))) t AS path""",
     # three class scores for 4 x 4 windows at stride 2 over every tile
     "fx_probs": """
  SELECT vec_id AS sample_id, y0, x0, y, x, cls, CAST((v + y0 * 7 + x0 * 13 + cls * 29) % 100 AS DOUBLE) / 100.0e0 AS p
@@ -107,6 +114,11 @@ SPARK = {
 }
 
 DUCK = {
+    "fx_files": """
+ SELECT UNNEST([CONCAT('/d/img/', c_name, '_PPL', CASE WHEN c_nationkey % 2 = 0 THEN '.tif' ELSE '.TIFF' END),
+   CONCAT('/d/img/', c_name, '_PPX1', CASE WHEN c_nationkey % 2 = 0 THEN '.tif' ELSE '.TIFF' END),
+   CONCAT('/d/mask/', c_name, '_labels', CASE WHEN c_acctbal > 0 THEN '.tif' ELSE '.txt' END),
+   CONCAT('/d/mask/', c_name, '_labels.tiff')]) AS path, CAST(c_custkey AS BIGINT) AS pos FROM customer""",
     # three class scores for 4 x 4 windows at stride 2 over every tile
     "fx_probs": """
  SELECT t.vec_id AS sample_id, w.y0, w.x0, t.y, t.x, c.cls,
