@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CELL = 64
+CELL = 32
 
 
 def boxes_to_runs(boxes: DataFrame) -> DataFrame:
@@ -55,9 +55,12 @@ def paint(runs: DataFrame, label: str, rank: Column | None = None, groups: tuple
     if rank is None:
         top = F.max(label)
     best = by_cell(runs).groupBy(*key, "x0", "x1").agg(top.alias("t"))
-    listed = best.groupBy(*key).agg(F.collect_list(F.struct("x0", "x1", "t")).alias("rs"))
+    listed = best.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "t"))).alias("rs"))
+    n = F.size("rs")
+    # sorted by start, some run overlaps another exactly if one overlaps its successor
+    pairs = F.zip_with(F.slice("rs", F.lit(1), n - 1), F.slice("rs", F.lit(2), n - 1), lambda a, b: a["x1"] > b["x0"])
     edges = F.array_sort(F.array_distinct(F.flatten(F.transform("rs", lambda r: F.array(r["x0"], r["x1"])))))
-    listed = listed.select(*key, "rs", F.when(F.size("rs") > 1, edges).alias("cut"))
+    listed = listed.select(*key, "rs", F.when((n > 1) & F.array_contains(pairs, True), edges).alias("cut"))
 
     def segment(a, i):
         b = F.col("cut")[i + 1]
@@ -65,7 +68,7 @@ def paint(runs: DataFrame, label: str, rank: Column | None = None, groups: tuple
         return F.struct(a.alias("x0"), b.alias("x1"), F.array_max(F.transform(over, lambda r: r["t"])).alias("t"))
 
     cut = F.transform(F.slice("cut", F.lit(1), F.size("cut") - 1), segment)
-    seg = F.explode(F.when(F.size("rs") == 1, F.col("rs")).otherwise(cut)).alias("s")
+    seg = F.explode(F.when(F.col("cut").isNull(), F.col("rs")).otherwise(cut)).alias("s")
     out = listed.select(*key, seg).where("s.t IS NOT NULL")
     won = F.col("s.t") if rank is None else F.col("s.t.id")
     return out.select(*key, "s.x0", "s.x1", won.alias(label))
