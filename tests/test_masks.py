@@ -205,3 +205,16 @@ def test_components_are_a_partition(spark):
         for a, b in e:
             comp[a] = comp[b] = min(comp[a], comp[b])
     assert got == dict(enumerate(comp))
+
+
+def test_grid_search_prefers_the_right_spacing(spark):
+    from maskquery.operators.trials import best_params
+
+    disc = lambda cx: {(y, x) for y in range(40) for x in range(40) if (y - 15) ** 2 + (x - cx) ** 2 <= 49}
+    a, b = disc(10), disc(22)
+    row = lambda px, i: [(0, i, y, x, x + 1) for y, x in px]
+    gt = spark.createDataFrame(row(a, 1) + row(b - a, 2), "sample_id int, inst_id int, y int, x0 int, x1 int")
+    interior = gt.drop("inst_id")
+    scores = watershed.grid_search([{"min_distance": 30}, {"min_distance": 5}], interior, interior.where("y < 0"), gt, frames(spark))
+    got = {r.grid_idx: r.best for r in best_params(scores).collect()}
+    assert got == {0: False, 1: True}
