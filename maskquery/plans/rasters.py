@@ -12,7 +12,7 @@ from maskquery.operators import rasters as RS
 from maskquery.plans.registry import query
 from maskquery.plans.scoring import rounded
 from maskquery.plans.views import table, view
-from maskquery.session import _ensure_checkpoint_dir
+from maskquery.session import shared_dir
 
 
 def tiles(spark, sf):
@@ -259,8 +259,7 @@ def l1_score_windows(spark, sf):
 
 
 def scratch(spark) -> str:
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 @query("a23_write_tiles", "SELECT section_id, band, y, x, v FROM fx_mosaic")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskquery.functions.scalars import is_noise, metric_values
 from maskquery.operators.numbering import numbered
 from maskquery.plans.views import COMMON, table
-from maskquery.session import _ensure_checkpoint_dir
+from maskquery.session import shared_dir
 
 
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,8 +34,7 @@ def drop_noise(lines: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    _ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame) -> DataFrame:
