@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskquery.llm import decontamination
+from maskquery.llm import decontamination, subwords
 from maskquery.session import shared_dir
 
 
@@ -15,7 +15,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("benchmark decontamination", decontaminate)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Subword ids of every document left, with the digests of ids and decoded text."""
+    return subwords.encoded(docs, with_ids=True, carry=("doc_id", "lang", "source"))
+
+
+STAGES = [("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
 
 #: Classifier, shingle components and subword merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
