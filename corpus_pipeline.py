@@ -6,10 +6,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskquery.llm import decontamination, subwords
+from maskquery.llm import decontamination, quality, subwords
 from maskquery.session import shared_dir
 
 
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -20,7 +25,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return subwords.encoded(docs, with_ids=True, carry=("doc_id", "lang", "source"))
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
+STAGES = [("quality classifier", classify), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
 
 #: Classifier, shingle components and subword merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
