@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskquery.llm import decontamination, quality, subwords
+from maskquery.llm import decontamination, line_dedup, quality, subwords
 from maskquery.session import shared_dir
 
 
@@ -15,6 +15,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat, or differ by a word from, an earlier line."""
+    return line_dedup.deduped(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -25,7 +30,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return subwords.encoded(docs, with_ids=True, carry=("doc_id", "lang", "source"))
 
 
-STAGES = [("quality classifier", classify), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
+STAGES = [("quality classifier", classify), ("line dedup", drop_lines), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
 
 #: Classifier, shingle components and subword merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
