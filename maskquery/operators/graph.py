@@ -22,16 +22,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, comp)`` with ``comp`` the least id of the component; nodes without edges keep their own id.
 
     Alternating large-star and small-star steps until the edges form stars. Minima are partial aggregates joined
-    back, so a hub node is combined before the shuffle and left to skew-join handling after it.
+    back. Both sides of each of these joins are written first, so a shuffle stands right under the join on either side and
+    skew-join handling can split the rows of a hub.
     """
     e = cut_lineage(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
     while not _is_star(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = cut_lineage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     star = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
