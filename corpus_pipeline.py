@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskquery.llm import decontamination, line_dedup, quality, subwords
+from maskquery.llm import decontamination, line_dedup, near_dup, quality, subwords
 from maskquery.session import shared_dir
 
 
@@ -20,6 +20,11 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduped(docs)
 
 
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group that n-gram similarity links."""
+    return near_dup.one_of_each(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -30,7 +35,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return subwords.encoded(docs, with_ids=True, carry=("doc_id", "lang", "source"))
 
 
-STAGES = [("quality classifier", classify), ("line dedup", drop_lines), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
+STAGES = [("quality classifier", classify), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_copies), ("benchmark decontamination", decontaminate), ("BPE encoding and decoding", encode)]
 
 #: Classifier, shingle components and subword merges have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators and the SQL of those that SQL can express."""
 
-from maskquery.llm import decontamination, line_dedup, quality, subwords
+from maskquery.llm import decontamination, line_dedup, near_dup, quality, subwords
 
-_MODULES = (subwords, decontamination, line_dedup, quality)
+_MODULES = (subwords, decontamination, line_dedup, near_dup, quality)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
