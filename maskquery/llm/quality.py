@@ -33,7 +33,7 @@ FEATURE_BITS = 20
 #: Lengths in bytes of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 #: Labelled documents that features are counted on, about.
-SAMPLE = 100_000
+SAMPLE = 30_000
 #: Least hashes by which near copies are told in the sample.
 SKETCHES = 4
 #: Ridge and steps of the regression.
