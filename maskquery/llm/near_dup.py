@@ -142,7 +142,9 @@ def _intersections(g: np.ndarray, of: np.ndarray, n: int, rows: np.ndarray, cols
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """``doc_id, class_id, n_links, component_id`` for every row of ``docs`` (``doc_id, text``).
+    """``id, doc_id, class_id, n_links, component_id`` for every row of ``docs`` (``doc_id, text``).
+
+    ``id`` is ``doc_id``, or a negative number from the text where that is null.
 
     ``class_id`` is the least id among documents with the same set of runs; ``n_links`` the number of other documents with a
     similarity of ``SIMILARITY`` or more, copies included; ``component_id`` the least id reachable over links.
@@ -160,6 +162,7 @@ def linked(docs: DataFrame) -> DataFrame:
     known = keep(classes.join(links.withColumnRenamed("id", "class"), "class", "left").join(comp.withColumnRenamed("id", "class"), "class", "left").select("a", "b", "n", "class", "weight", "links", "comp"), "near-known")
     out = signed_docs.join(known, ["a", "b", "n"], "left")
     return out.select(
+        "id",
         "doc_id",
         F.coalesce("class", "id").alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).alias("n_links"),
@@ -169,20 +172,21 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of least id of every component; of rows that repeat it one stays."""
-    found = linked(docs)
-    name, digest = free_name("near_id", docs.columns), free_name("near_digest", docs.columns)
-    gone = keep(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct(), "near-gone")
-    # Ids are rows of one text; null ids are left to the digest below.
-    left = docs.join(gone.filter(F.col(name).isNotNull()), docs["doc_id"] == F.col(name), "left_anti")
-    twice = docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    if twice:
+    found = keep(linked(docs).select("id", "component_id"), "near-found")
+    name = free_name("near_id", docs.columns)
+    gone = found.filter("id <> component_id").select(F.col("id").alias(name)).distinct()
+    own = number(docs["doc_id"], docs["text"])
+    left = docs.join(gone, own == gone[name], "left_anti")
+    if found.groupBy("id").count().filter("count > 1").isEmpty():
         return left
-    left = left.withColumn(digest, F.when(F.trim("text") != "", F.md5("text")).otherwise(F.expr("uuid()")))
-    return left.dropDuplicates(["doc_id", digest]).drop(digest)
+    blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    digest = free_name("near_digest", docs.columns)
+    once = left.filter(~blank).withColumn(digest, F.md5("text")).dropDuplicates(["doc_id", digest]).drop(digest)
+    return once.unionByName(left.filter(blank))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return linked(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("id")
 
 
 QUERIES = {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
