@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskquery.llm.slots import without
 from maskquery.llm.store import free_name, keep
 from maskquery.llm.text import ALNUM, LOWER, bounds, gram_hashes, ragged, run_hashes, signed, slices
 
@@ -174,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = document_windows(docs.select(digest.alias("doc_id"), "text"), prints, sizes).select("doc_id", F.explode("window").alias("window"))
     known = keep(windows.select("window").distinct(), "decon-windows")
     bad = keep(keep(found, "decon-found").join(known, "window", "left_semi").select(F.col("doc_id").alias(name)).distinct(), "decon-bad")
-    return docs.withColumn(name, digest).join(bad, name, "left_anti").drop(name)
+    return without(docs, F.md5(F.coalesce(docs["text"], F.lit(""))), bad)
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskquery.llm.blocks import by_block, blocks, components, first_shared, groups, local_minima, number
+from maskquery.llm.slots import maybe_in, without
 from maskquery.llm.store import free_name, keep
 from maskquery.llm.text import LOWER, NOT_SPACE, bounds, gram_hashes, mix, ragged, run_hashes, signed, slices
 
@@ -154,7 +155,9 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = classes.select(F.col("class").alias("id"), F.posexplode("keys").alias("tree", "key"))
     placed = keep(blocks(rows, "near"), "near-blocks")
     texts = docs.select(number(F.col("doc_id"), F.col("text")).alias("id"), "text")
-    members = keep(texts.join(placed.select("id").distinct(), "id", "left_semi"), "near-texts")
+    wanted = keep(placed.select("id").distinct(), "near-wanted")
+    texts = texts.filter(maybe_in(wanted.select(F.xxhash64("id")))(F.xxhash64("id")))
+    members = keep(texts.join(wanted, "id", "left_semi"), "near-texts")
     payload = classes.select(F.col("class").alias("id"), "weight", "keys").join(members, "id")
     found = keep(by_block(placed.join(payload, "id").select("id", "tree", "key", "lo", "hi", "side", "weight", "keys", "text")).mapInArrow(_verify, "id long, links long, low long"), "near-links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
@@ -175,8 +178,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = keep(linked(docs).select("id", "component_id"), "near-found")
     name = free_name("near_id", docs.columns)
     gone = found.filter("id <> component_id").select(F.col("id").alias(name)).distinct()
-    own = number(docs["doc_id"], docs["text"])
-    left = docs.join(gone, own == gone[name], "left_anti")
+    left = without(docs, number(docs["doc_id"], docs["text"]), gone)
     if found.groupBy("id").count().filter("count > 1").isEmpty():
         return left
     blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The map takes 2 MB whatever the number of keys; a fuller one lets more rows through to the join and loses none.
@@ -36,3 +36,10 @@ def maybe_in(keys: DataFrame):
         return pa.array(within(np.frombuffer(shared.value, np.uint8), key.to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return look
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``gone``'s only column; rows that cannot be in it are not shuffled."""
+    hit = maybe_in(gone.select(F.xxhash64(gone.columns[0])))(F.xxhash64(key))
+    left = docs.filter(hit).join(gone, key == gone[gone.columns[0]], "left_anti")
+    return left.union(docs.filter(~hit))
