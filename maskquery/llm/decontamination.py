@@ -92,7 +92,7 @@ def _print_map(windows: DataFrame) -> tuple[bytes, list[int]]:
     rows = rows.select(F.shiftright("slot", 3).alias("byte"), F.expr("shiftleft(1, slot & 7)").alias("bit"))
     rows = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits"))
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    got = rows.toPandas()
+    got = rows.toArrow().to_pandas()
     bits[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     sizes = [r[0] for r in windows.filter(F.col("size") < SPAN).select("size").distinct().collect()]
     return bits.tobytes(), sorted(sizes)

@@ -152,7 +152,7 @@ def learn(docs: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "slot", "n"])
 
     usable = docs.filter("text is not null and lang is not null").select("text", "lang")
-    counts = keep(usable.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "lang-counts").toPandas()
+    counts = keep(usable.mapInArrow(count, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")), "lang-counts").toArrow().to_pandas()
     names = tuple(sorted(counts["lang"].unique()))
     c = np.zeros((len(names), _SLOTS))
     if names:

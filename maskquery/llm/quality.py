@@ -48,8 +48,11 @@ def _binned(num: np.ndarray, den: np.ndarray) -> np.ndarray:
     return np.where(num == 0, 0, 1 + np.floor(np.minimum(r, 0.9999) * 10)).astype(np.uint64)
 
 
-def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of each text: their slots one text after the other, and the n + 1 bounds of the texts."""
+def features(data: np.ndarray, off: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of each text: their slots one text after the other, and the n + 1 bounds of the texts.
+
+    With ``only``, a flag for each slot, other slots are left out.
+    """
     n = len(off) - 1
     low = LOWER[data]
     letter = ALNUM[low]
@@ -73,8 +76,13 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     upper, marks = per_text((data >= 65) & (data <= 90)), per_text(~letter & NOT_SPACE[low])
     ratios = (_binned(np.bincount(of, again, n), np.diff(row)), _binned(upper, per_text(letter)), _binned(marks, size), np.ceil(np.log2(size + 1.0)).astype(np.uint64))
     parts += [(texts, x + np.uint64(1000 * (k + 1))) for k, x in enumerate(ratios)]
-    slot = mix(np.concatenate([h for _, h in parts])) >> np.uint64(64 - FEATURE_BITS)
-    pair = np.unique((np.concatenate([t for t, _ in parts]).astype(np.int64) << FEATURE_BITS) | slot.astype(np.int64))
+    pairs = []
+    for of, h in parts:
+        slot = (mix(h) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64)
+        use = only[slot] if only is not None else slice(None)
+        pairs.append((of[use].astype(np.int64) << FEATURE_BITS) | slot[use])
+    pair = np.sort(np.concatenate(pairs))
+    pair = pair[np.r_[True, pair[1:] != pair[:-1]]] if len(pair) else pair
     return pair & ((1 << FEATURE_BITS) - 1), np.searchsorted(pair >> FEATURE_BITS, np.arange(n + 1))
 
 
@@ -144,7 +152,7 @@ def _without_copies(docs: DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
             m = signed(np.concatenate([np.zeros((0, SKETCHES), np.uint64), *got]))
             yield pa.RecordBatch.from_arrays([taken.column(0), *(pa.array(m[:, k]) for k in range(SKETCHES))], ["doc_id", *names])
 
-    seen = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, " + ", ".join(f"{m} long" for m in names)).toPandas()
+    seen = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(read, "doc_id long, " + ", ".join(f"{m} long" for m in names)).toArrow().to_pandas()
     first = np.ones(len(seen), bool)
     for m in names:
         first &= (seen.groupby(m)["doc_id"].transform("min") == seen["doc_id"]).to_numpy()
@@ -156,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     spark = docs.sparkSession
     known = labels_of(labels)
     share = min(1.0, sample / max(1, known.count()))
-    drawn = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(int(share * 2**63) if share < 1 else 2**63 - 1)).toPandas().sort_values("doc_id")
+    drawn = known.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < F.lit(int(share * 2**63) if share < 1 else 2**63 - 1)).toArrow().to_pandas().sort_values("doc_id")
     drawn = _without_copies(docs, drawn)
     table = spark.sparkContext.broadcast((drawn["doc_id"].to_numpy(np.int64), drawn[list(FAULTS)].to_numpy(np.int64)))
 
@@ -189,7 +197,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
         return F.when((F.abs(w) > ERRORS * F.sqrt(1 / a + 1 / b)) & (F.abs(w) > LEAST), w).otherwise(0.0)
 
     said = counted.filter(F.col("slot") < 1 << FEATURE_BITS).select("slot", *(ratio(f, n1).alias(f) for f, n1 in zip(FAULTS, marked)))
-    said = said.filter(" or ".join(f"{f} != 0" for f in FAULTS)).toPandas().sort_values("slot")
+    said = said.filter(" or ".join(f"{f} != 0" for f in FAULTS)).toArrow().to_pandas().sort_values("slot")
     slots = said["slot"].to_numpy(np.int64)
     base = tuple(m / n if n else 0.0 for m in marked)
     if not n or not len(slots):
@@ -204,11 +212,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
             rows, at = _drawn_rows(batch.column(0), ids)
             data, off = flat(batch.column(1).take(pa.array(rows)))
             for lo, hi in _cuts(off):
-                slot, ends = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+                slot, ends = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], place >= 0)
                 row, col = np.repeat(at[lo:hi], np.diff(ends)), place[slot]
-                yield pa.RecordBatch.from_arrays([pa.array(row[col >= 0].astype(np.int32)), pa.array(col[col >= 0])], ["row", "col"])
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(col)], ["row", "col"])
 
-    cells = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "row int, col int").distinct().toPandas()
+    cells = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "row int, col int").distinct().toArrow().to_pandas()
     row, col, y = cells["row"].to_numpy(), cells["col"].to_numpy(), drawn[list(FAULTS)].to_numpy(np.float64)
     fits = [_fit(row, col, y[:, k], len(slots), said[f].to_numpy() != 0) for k, f in enumerate(FAULTS)]
     return Weights(slots, np.array([w for w, _ in fits]), tuple(b - float(np.log(p / (1 - p))) if 0 < p < 1 else 0.0 for (_, b), p in zip(fits, base)), base)
@@ -238,10 +246,11 @@ def evidence(spark: SparkSession, weights: Weights):
         slots, values, offset = shared.value
         table = np.zeros((len(FAULTS), 1 << FEATURE_BITS))
         table[:, slots] = values
+        speaks = (table != 0).any(0)
         data, off = flat(text)
         out = np.zeros((len(text), len(FAULTS)))
         for lo, hi in _cuts(off):
-            slot, ends = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+            slot, ends = features(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], speaks)
             for k in range(len(FAULTS)):
                 out[lo:hi, k] = offset[k] + np.diff(np.r_[0.0, np.cumsum(table[k, slot])][ends])
         return pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * len(FAULTS)), pa.array(out.ravel()))

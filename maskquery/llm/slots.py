@@ -15,7 +15,7 @@ def slot_map(keys: DataFrame) -> bytes:
     """The bitmap of the upper bits of ``keys``' only column, a well mixed long."""
     slot = F.shiftrightunsigned(keys.columns[0], 64 - MAP_BITS).cast("int")
     rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 3).alias("byte"), F.expr("shiftleft(1, slot & 7)").alias("bit"))
-    got = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
+    got = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
     bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     bits[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return bits.tobytes()
