@@ -39,7 +39,7 @@ SKETCHES = 4
 #: Ridge and steps of the regression.
 PENALTY, STEPS = 0.5, 400
 #: A feature speaks if its log ratio is beyond this many standard errors and this size.
-ERRORS, LEAST = 4.0, 1.0
+ERRORS, LEAST = 3.0, 1.0
 
 
 def _binned(num: np.ndarray, den: np.ndarray) -> np.ndarray:
