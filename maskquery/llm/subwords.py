@@ -33,7 +33,7 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in vocabulary files: itself if printable, else the next free one from 256 on."""
     out, spare = {}, 256
     for b in range(256):
@@ -55,7 +55,7 @@ class Merges:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        letters = _byte_letters()
+        letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.size = 1 + max([*vocab.values(), *self.special.values()])
         spelled = [b""] * self.size

@@ -19,20 +19,22 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskquery.llm.subwords import vocabulary_path
+from maskquery.llm.subwords import byte_letters, vocabulary_path
 from maskquery.llm.text import ragged, slices
 from maskquery.session import shared_dir
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 CHUNK = 8
 SHARD_TOKENS = 1 << 18
-CACHE_WORDS = 300_000
+CACHE_WORDS, CACHE_PARTS = 800_000, 200_000
 #: Documents a range holds, about.
 RANGE_ROWS = 8192
 
@@ -86,7 +88,14 @@ class Levels:
 
 
 class Words:
-    """The library's ids of a text, word by word: white space parts words for this vocabulary, so each word is encoded once."""
+    """The library's ids of a text, word by word: white space parts words for this vocabulary, so each word is encoded once.
+
+    A word of Latin letters below U+0130 is parted further, where the vocabulary's own pattern parts it, as such words keep their
+    form under the library's normalisation but for case, and its model spells the parts; any other word goes through the whole library.
+    """
+
+    #: Parts of a word in this vocabulary family. Fixed value.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -94,32 +103,64 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.parts_of = regex.compile(self.PATTERN).findall
+        self.parts: dict[str, list[int]] = {}
+        self.letters = {b: c for c, b in byte_letters().items()}
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Index()
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    @staticmethod
+    def _plain(text: str) -> bool:
+        return "<|" not in text and (text.isascii() or max(text) < "\u0130")
+
+    def _spell(self, word: bytes) -> list[int]:
+        text = word.decode()
+        if not self._plain(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        out, known = [], self.parts
+        for part in self.parts_of(text.lower()):
+            ids = known.get(part)
+            if ids is None:
+                letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+                ids = known[part] = [t.id for t in self.library.model.tokenize(letters)]
+            out += ids
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after the other, and the n + 1 bounds."""
         if len(self.index) > CACHE_WORDS:
             self._forget()
-        pieces, ends = [], [0]
+        index, rows = self.index, []
         for t in texts:
-            pieces += t.split()
-            ends.append(len(pieces))
-        index = self.index
-        fresh = [p for p in dict.fromkeys(pieces) if p not in index]
-        if fresh:
-            got = [e.ids for e in self.library.encode_batch([p.decode() for p in fresh], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.int32, int(size.sum()))])
+            words = (t.lower() if self._plain(t) else t).encode().split()
+            rows.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+        if index.fresh:
+            ids = [self._spell(w) for w in index.fresh]
+            index.fresh.clear()
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            n = len(index)
-            index.update(zip(fresh, range(n, n + len(fresh))))
-        which = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+            if len(self.parts) > CACHE_PARTS:
+                self.parts.clear()
+        which = np.concatenate([np.zeros(0, np.int64), *rows])
         size = self.at[which + 1] - self.at[which]
-        return self.flat[ragged(self.at[which], size)], np.r_[0, np.cumsum(size)][np.array(ends)]
+        return self.flat[ragged(self.at[which], size)], np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum([len(r) for r in rows])].astype(np.int64)]
+
+
+class _Index(dict):
+    """Words to numbers in order of first use; new ones are noted in ``fresh``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
 
 
 _loaded: dict[str, Words] = {}
@@ -152,9 +193,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
 
         for batch in batches:
             part = batch.column(2)[0].as_py() if batch.num_rows else part
-            for rows, data, off in slices(batch):
-                raw = data.tobytes()
-                got, at = coder.encode([raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())])
+            for rows, _, _ in slices(batch):
+                got, at = coder.encode([t or "" for t in rows.column(1).to_pylist()])
                 ids.append(np.insert(got, at[1:], end))
                 sizes.append(np.diff(at) + 1)
                 names.append(rows.column(0))
