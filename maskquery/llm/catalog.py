@@ -1,7 +1,7 @@
 """The registered queries of the corpus operators and the SQL of those that SQL can express."""
 
-from maskquery.llm import decontamination, embedding_dup, html_text, language, line_dedup, near_dup, quality, subwords, token_store
+from maskquery.llm import decontamination, embedding_dup, html_text, language, line_dedup, lm_score, near_dup, quality, subwords, token_store
 
-_MODULES = (subwords, decontamination, line_dedup, near_dup, token_store, quality, embedding_dup, html_text, language)
+_MODULES = (lm_score, subwords, decontamination, line_dedup, lm_score, near_dup, token_store, quality, embedding_dup, html_text, language)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
