@@ -2,6 +2,6 @@
 
 from maskquery.llm import decontamination, embedding_dup, html_text, language, line_dedup, lm_score, near_dup, quality, subwords, token_store
 
-_MODULES = (lm_score, subwords, decontamination, line_dedup, lm_score, near_dup, token_store, quality, embedding_dup, html_text, language)
+_MODULES = (lm_score, language, subwords, html_text, near_dup, token_store, decontamination, line_dedup, quality, embedding_dup)
 QUERIES = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
