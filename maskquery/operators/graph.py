@@ -14,12 +14,13 @@ from maskquery.session import cut_lineage
 
 
 def node_id(sample: Column, inst: Column) -> Column:
-    """One BIGINT for (sample, instance); both must be below 2**31."""
-    return F.shiftleft(sample.cast("long"), 32) + inst.cast("long")
+    """The pair as a node, so that ids of two samples never meet, however large."""
+    return F.struct(sample.cast("long").alias("sample_id"), inst.cast("long").alias("inst_id"))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, comp)`` with ``comp`` the least id of the component; nodes without edges keep their own id.
+    """``(id, comp)`` with ``comp`` the least id of the component; nodes without edges keep their own id. Ids may be of any
+    type with an order.
 
     Alternating large-star and small-star steps until the edges form stars. Minima are partial aggregates joined
     back. Both sides of each of these joins are written first, so a shuffle stands right under the join on either side and
@@ -65,35 +66,41 @@ def mask_groups(masks: DataFrame, pairs: DataFrame) -> DataFrame:
         node_id(F.col("sample_id"), F.col("a_id")).alias("src"), node_id(F.col("sample_id"), F.col("b_id")).alias("dst")
     )
     comp = connected_components(nodes, edges)
-    low = F.lit((1 << 32) - 1)
+    kind = dict(masks.dtypes)
     return comp.select(
-        F.shiftright("id", 32).cast("int").alias("sample_id"),
-        F.col("id").bitwiseAND(low).cast("int").alias("inst_id"),
-        F.col("comp").bitwiseAND(low).cast("int").alias("group_id"),
+        F.col("id.sample_id").cast(kind["sample_id"]).alias("sample_id"),
+        F.col("id.inst_id").cast(kind["inst_id"]).alias("inst_id"),
+        F.col("comp.inst_id").cast(kind["inst_id"]).alias("group_id"),
     )
 
 
-RASTER_BITS = 20  # rows and columns below 2**20
+RASTER_BITS = 20  # rows and columns below 2**20, samples below 2**23 where a position is one number
+SCAN_BITS = 31
 
 
 def raster_pos(sample: Column, y: Column, x: Column) -> Column:
-    """One BIGINT that sorts by sample, then in raster-scan order."""
-    return (
-        F.shiftleft(sample.cast("long"), 2 * RASTER_BITS) + F.shiftleft(y.cast("long"), RASTER_BITS) + x.cast("long")
-    )
+    """One BIGINT that sorts by sample, then in raster-scan order; a position that does not fit is an error."""
+    side = 1 << RASTER_BITS
+    fits = (sample >= 0) & (sample < 1 << (63 - 2 * RASTER_BITS)) & (y >= 0) & (y < side) & (x >= 0) & (x < side)
+    pos = F.shiftleft(sample.cast("long"), 2 * RASTER_BITS) + F.shiftleft(y.cast("long"), RASTER_BITS) + x.cast("long")
+    return F.when(fits, pos).otherwise(F.raise_error(F.lit("sample or pixel beyond the range of raster positions")).cast("long"))
+
+
+def scan_node(sample: Column, y: Column, x: Column) -> Column:
+    """A pixel as a node: its sample and its place in raster-scan order."""
+    return F.struct(sample.cast("long").alias("sample_id"), (F.shiftleft(y.cast("long"), SCAN_BITS) + x.cast("long")).alias("pos"))
 
 
 def component_runs(runs: DataFrame, connectivity: int) -> DataFrame:
-    """Maximal runs with ``comp``, the raster position of the first pixel of their connected component."""
+    """Maximal runs with ``comp``, the raster-scan place within the sample of the first pixel of their connected component."""
     spans = cut_lineage(merge_runs(runs, ("sample_id",)))
-    at = raster_pos(F.col("sample_id"), F.col("y"), F.col("x0"))
     adj = run_adjacency(spans, connectivity)
     edges = adj.select(
-        raster_pos(F.col("sample_id"), F.col("ya"), F.col("xa")).alias("src"),
-        raster_pos(F.col("sample_id"), F.col("yb"), F.col("xb")).alias("dst"),
+        scan_node(F.col("sample_id"), F.col("ya"), F.col("xa")).alias("src"),
+        scan_node(F.col("sample_id"), F.col("yb"), F.col("xb")).alias("dst"),
     )
-    nodes = spans.select(at.alias("id"), "sample_id", "y", "x0", "x1")
-    return nodes.join(connected_components(nodes, edges), "id").drop("id")
+    nodes = spans.select(scan_node(F.col("sample_id"), F.col("y"), F.col("x0")).alias("id"), "sample_id", "y", "x0", "x1")
+    return nodes.join(connected_components(nodes, edges), "id").select("sample_id", "y", "x0", "x1", F.col("comp.pos").alias("comp"))
 
 
 def label_components(runs: DataFrame, connectivity: int = 1, min_area_px: int = 0) -> DataFrame:
@@ -104,7 +111,7 @@ def label_components(runs: DataFrame, connectivity: int = 1, min_area_px: int =
     first = comp.groupBy("sample_id", "comp").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"))
     if min_area_px > 0:
         first = first.where(F.col("area") >= min_area_px)
-    ids = numbered(first, ["sample_id"], "comp", "inst_id", block=64 << RASTER_BITS)
+    ids = numbered(first, ["sample_id"], "comp", "inst_id", block=64 << SCAN_BITS)
     return comp.join(ids.select("sample_id", "comp", "inst_id"), ["sample_id", "comp"]).select(
         "sample_id", F.col("inst_id").cast("int").alias("inst_id"), "y", "x0", "x1"
     )

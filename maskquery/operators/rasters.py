@@ -61,6 +61,8 @@ def read_window(tiles: DataFrame, left: int, top: int, right: int, bottom: int,
     hit = tiles.where(
         (F.col("x0") < right) & (F.col("y0") < bottom) & (F.col("x0") + F.col("w") > left) & (F.col("y0") + F.col("h") > top)
     )
+    if hit.isEmpty():
+        raise ValueError("no tile inside the window")
     dx, dy = (left, top) if shift else (0, 0)
 
     def trim(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,8 +87,11 @@ def misaligned(tiles: DataFrame, bands: int) -> DataFrame:
 
 
 def align_bands(tiles: DataFrame, bands: int) -> DataFrame:
-    """Tiles at positions where all bands are present in one shape."""
-    return tiles.join(misaligned(tiles, bands).select("section_id", "y0", "x0"), ["section_id", "y0", "x0"], "left_anti")
+    """All tiles, once it is sure that every position has each of the ``bands`` bands in one shape; the first that has not is an error."""
+    bad = misaligned(tiles, bands).first()
+    if bad is not None:
+        raise ValueError(f"section {bad['section_id']}, tile at y {bad['y0']}, x {bad['x0']}: {bad['bands']} of {bands} bands" + (" of differing shapes" if bad["mixed"] else ""))
+    return tiles
 
 
 def screen_blend(tiles: DataFrame, band: str = "blend") -> DataFrame:
@@ -129,10 +134,11 @@ def split_channels(tiles: DataFrame, group: int = 3) -> DataFrame:
 
 
 def extract_patches(tiles: DataFrame, patches: DataFrame, patch: int, tile: int) -> DataFrame:
-    """Zero-padded ``patch`` x ``patch`` crops, one row per patch and band.
+    """Zero-padded ``patch`` x ``patch`` crops, one row per patch and band of its section, also where no tile lies.
 
     ``patches`` has ``(section_id, stem, y0, y1, x0, x1)``; tiles lie on a ``tile`` grid. A patch looks up the grid
-    cells it touches, so the join key is a tile position and never a section.
+    cells it touches, so the join key is a tile position and never a section. A patch of a section without tiles is an
+    error, as nothing tells its bands.
     """
     cells = lambda a, b: F.sequence(F.floor(F.col(a) / tile), F.floor((F.col(b) - 1) / tile))
     want = patches.select(
@@ -156,7 +162,16 @@ def extract_patches(tiles: DataFrame, patches: DataFrame, patch: int, tile: int)
         )
 
     schema = "section_id int, band string, stem string, y0 int, x0 int, h int, w int, channels int, data binary"
-    return want.join(have, ["section_id", "ty", "tx"]).groupBy("section_id", "stem", "band").applyInPandas(assemble, schema)
+    bands = tiles.groupBy("section_id", "band").agg(F.max("channels").alias("channels"))
+    known = patches.join(bands, "section_id", "left")
+    known = known.withColumn("band", F.coalesce("band", F.raise_error(F.concat(F.lit("no tile in section "), F.col("section_id").cast("string")))))
+    blank = known.select(  # a tile of no extent for each patch and band
+        "section_id", "stem", F.col("y0").alias("py0"), F.col("y1").alias("py1"), F.col("x0").alias("px0"), F.col("x1").alias("px1"),
+        "band", F.lit(0).alias("y0"), F.lit(0).alias("x0"), F.lit(0).alias("h"), F.lit(0).alias("w"), "channels", F.lit(b"").alias("data"),
+    )
+    met = want.join(have, ["section_id", "ty", "tx"]).select(*blank.columns)
+    return met.unionByName(blank).groupBy("section_id", "stem", "band").applyInPandas(assemble, schema)
+
 
 
 def augment(patches: DataFrame, key: str, seed: int) -> DataFrame:
@@ -239,10 +254,14 @@ def overlay_pixels(image: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def write_tiles(tiles: DataFrame, path: str, kind: str) -> None:
-    """Tile sink: compressed Parquet by section and kind, sorted so that window reads prune row groups."""
+    """Tile sink: compressed Parquet by section and kind, sorted so that window reads prune row groups.
+
+    A rewrite replaces the sections and kinds it contains and leaves others alone.
+    """
     out = tiles.withColumn("kind", F.lit(kind))
     spread = out.repartition("section_id", F.floor(F.col("y0") / 4096)).sortWithinPartitions("section_id", "y0", "x0")
-    spread.write.mode("append").option("compression", "zstd").partitionBy("section_id", "kind").parquet(path)
+    w = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+    w.partitionBy("section_id", "kind").parquet(path)
 
 
 def write_patch_dataset(patches: DataFrame, path: str) -> None:

@@ -16,18 +16,19 @@ from maskquery.session import shared_dir
 
 
 def tiles(spark, sf):
-    """The embedding vectors as 8 x 8 one-channel tiles of a three-band mosaic."""
-    t = F.floor(F.col("vec_id") / 3)
-    vals = F.transform("embedding", lambda v: F.floor(v.cast("double") * 127.5 + 127.5))
-    return table(spark, sf, "embeddings").select(
-        F.floor(F.col("vec_id") / 75).cast("int").alias("section_id"),
-        F.concat(F.lit("b"), (F.col("vec_id") % 3).cast("string")).alias("band"),
-        (F.floor(t % 25 / 5) * 8).cast("int").alias("y0"),
-        (t % 5 * 8).cast("int").alias("x0"),
+    """Each embedding vector as an 8 x 8 one-channel tile in three bands of a mosaic: itself, inverted, and shifted."""
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 127.5 + 127.5))
+    bands = F.array(v, F.transform(v, lambda x: 255 - x), F.transform(v, lambda x: (x + 85) % 256))
+    t = table(spark, sf, "embeddings").select("vec_id", F.posexplode(bands).alias("i", "vals"))
+    return t.select(
+        F.floor(F.col("vec_id") / 25).cast("int").alias("section_id"),
+        F.concat(F.lit("b"), F.col("i").cast("string")).alias("band"),
+        (F.floor(F.col("vec_id") % 25 / 5) * 8).cast("int").alias("y0"),
+        (F.col("vec_id") % 5 * 8).cast("int").alias("x0"),
         F.lit(8).alias("h"),
         F.lit(8).alias("w"),
         F.lit(1).alias("channels"),
-        RS.pack_u8(vals).alias("data"),
+        RS.pack_u8("vals").alias("data"),
     )
 
 
@@ -41,16 +42,24 @@ def a21_read_window(spark, sf):
     return RS.to_long(RS.read_window(tiles(spark, sf), 3, 5, 21, 30)).drop("channel")
 
 
-ALIGNED = """al AS (SELECT section_id, y - y % 8 AS y0, x - x % 8 AS x0, COUNT(DISTINCT band) AS bands FROM fx_mosaic GROUP BY 1, 2, 3)"""
-
-
-@query("c10_align_bands", f"WITH {ALIGNED} SELECT section_id, y0, x0, CONCAT('b', CAST(UNNEST(RANGE(3)) AS STRING)) AS band FROM al WHERE bands = 3")
+@query("c10_align_bands", "SELECT DISTINCT section_id, y - y % 8 AS y0, x - x % 8 AS x0, band FROM fx_mosaic")
 def c10_align_bands(spark, sf):
     return RS.align_bands(tiles(spark, sf), 3).select("section_id", "y0", "x0", "band")
 
 
+@query(
+    "c10_misaligned",
+    """SELECT section_id, y0, x0, COUNT(*) AS bands FROM (SELECT DISTINCT section_id, y - y % 8 AS y0, x - x % 8 AS x0, band FROM fx_mosaic
+ WHERE NOT (band = 'b1' AND (section_id + y // 8 + x // 8) % 7 = 0)) GROUP BY ALL HAVING COUNT(*) <> 3""",
+)
+def c10_misaligned(spark, sf):
+    """The offending positions once some tiles of a band are taken out."""
+    gap = (F.col("band") == "b1") & ((F.col("section_id") + F.col("y0") / 8 + F.col("x0") / 8) % 7 == 0)
+    return RS.misaligned(tiles(spark, sf).where(~gap), 3).select("section_id", "y0", "x0", "bands")
+
+
 ORDERED = """bl AS (SELECT section_id, y, x, MAX(CASE WHEN band = 'b0' THEN v END) AS b0, MAX(CASE WHEN band = 'b1' THEN v END) AS b1,
- MAX(CASE WHEN band = 'b2' THEN v END) AS b2 FROM fx_mosaic GROUP BY section_id, y, x HAVING COUNT(*) = 3)"""
+ MAX(CASE WHEN band = 'b2' THEN v END) AS b2 FROM fx_mosaic GROUP BY section_id, y, x)"""
 
 
 def f32(v):
@@ -98,8 +107,7 @@ PATCH_PX = """st AS (SELECT * FROM (VALUES (0), (8)) v(d)),
 
 @query(
     "j5_extract_patches",
-    f"""WITH {PATCH_PX}, bd AS (SELECT DISTINCT section_id, band, y0, x0 FROM pg JOIN fx_mosaic m USING (section_id)
-  WHERE m.y >= pg.y0 AND m.y < pg.y0 + 12 AND m.x >= pg.x0 AND m.x < pg.x0 + 12)
+    f"""WITH {PATCH_PX}, bd AS (SELECT DISTINCT section_id, m.band, y0, x0 FROM pg JOIN (SELECT DISTINCT section_id, band FROM fx_mosaic) m USING (section_id))
 SELECT bd.section_id, bd.band, PRINTF('region_%04d_y%05d_x%05d', region_idx, pq.y0, pq.x0) AS stem, dy AS y, dx AS x, COALESCE(m.v, 0) AS v
 FROM bd JOIN pq ON pq.section_id = bd.section_id AND pq.y0 = bd.y0 AND pq.x0 = bd.x0
 LEFT JOIN fx_mosaic m ON m.section_id = bd.section_id AND m.band = bd.band AND m.y = pq.y0 + dy AND m.x = pq.x0 + dx""",
@@ -114,8 +122,9 @@ def j5_extract_patches(spark, sf):
 
 @query(
     "c13_crop_patch_masks",
-    f"""WITH {PATCH_PX} SELECT pq.section_id, PRINTF('region_%04d_y%05d_x%05d', region_idx, pq.y0, pq.x0) AS stem,
- CAST(SUM(COALESCE(m.v, 0)) AS BIGINT) AS total FROM pq JOIN fx_mosaic m ON m.section_id = pq.section_id AND m.band = 'b1' AND m.y = pq.y0 + dy AND m.x = pq.x0 + dx
+    f"""WITH {PATCH_PX}, bn AS (SELECT DISTINCT section_id, band FROM fx_mosaic)
+SELECT pq.section_id, bn.band, PRINTF('region_%04d_y%05d_x%05d', region_idx, pq.y0, pq.x0) AS stem, CAST(SUM(COALESCE(m.v, 0)) AS BIGINT) AS total
+FROM pq JOIN bn USING (section_id) LEFT JOIN fx_mosaic m ON m.section_id = pq.section_id AND m.band = bn.band AND m.y = pq.y0 + dy AND m.x = pq.x0 + dx
 GROUP BY ALL""",
 )
 def c13_crop_patch_masks(spark, sf):
@@ -123,9 +132,10 @@ def c13_crop_patch_masks(spark, sf):
 
     stems = mosaic_patches(spark, sf).select("section_id", "stem", F.lit(40).alias("height"), F.lit(40).alias("width"))
     bounds = T.patch_bounds(stems, 20, 12)
-    got = RS.extract_patches(tiles(spark, sf).where("band = 'b1'"), bounds, 12, 8)
-    named = got.select("section_id", F.col("stem").alias("band"), F.lit(0).alias("y0"), F.lit(0).alias("x0"), "h", "w", "channels", "data")
-    return RS.to_long(named).groupBy("section_id", F.col("band").alias("stem")).agg(F.sum("v").alias("total"))
+    got = RS.extract_patches(tiles(spark, sf), bounds, 12, 8)
+    named = got.select("section_id", F.concat_ws("|", "band", "stem").alias("band"), F.lit(0).alias("y0"), F.lit(0).alias("x0"), "h", "w", "channels", "data")
+    parts = F.split("band", r"\|")
+    return RS.to_long(named).groupBy("section_id", parts[0].alias("band"), parts[1].alias("stem")).agg(F.sum("v").alias("total"))
 
 
 @query("b1_clip_u8", "SELECT l_orderkey, l_partkey, l_extendedprice, CAST(TRUNC(LEAST(GREATEST(l_quantity * 7 - 60, 0), 255)) AS INT) AS v FROM lineitem")

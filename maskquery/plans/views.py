@@ -52,11 +52,12 @@ COMMON = {
  UNION ALL
  SELECT sample_id, 1 AS cls, 2 AS pass, x0 + 1 AS x0, y0 + 1 AS y0, x1 - 1 AS x1, y1 - 1 AS y1
  FROM fx_cboxes WHERE side = 'gt' AND x1 - x0 > 2 AND y1 - y0 > 2""",
-    # mosaic of 8 x 8 tiles: three bands per tile, sections of 5 x 5 tiles
+    # mosaic of 8 x 8 tiles: each vector in three bands, sections of 5 x 5 tiles
     "fx_mosaic": """
- SELECT CAST(FLOOR(vec_id / 75.0e0) AS INT) AS section_id, CONCAT('b', CAST(vec_id % 3 AS STRING)) AS band,
-   CAST(y + 8 * FLOOR(CAST(FLOOR(vec_id / 3.0e0) AS INT) % 25 / 5.0e0) AS INT) AS y,
-   CAST(x + 8 * (CAST(FLOOR(vec_id / 3.0e0) AS INT) % 5) AS INT) AS x, v FROM fx_tile_px""",
+ SELECT CAST(FLOOR(vec_id / 25.0e0) AS INT) AS section_id, b.band,
+   CAST(y + 8 * FLOOR(CAST(vec_id AS INT) % 25 / 5.0e0) AS INT) AS y, CAST(x + 8 * (CAST(vec_id AS INT) % 5) AS INT) AS x,
+   CAST(CASE b.band WHEN 'b0' THEN v WHEN 'b1' THEN 255 - v ELSE (v + 85) % 256 END AS INT) AS v
+ FROM fx_tile_px, (SELECT * FROM (VALUES ('b0'), ('b1'), ('b2')) w(band)) b""",
     "fx_trials": """
  SELECT CONCAT('run_', CAST(user_id AS STRING)) AS run,
    CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS INT) AS iteration,
