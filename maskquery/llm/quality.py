@@ -199,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
     said = counted.filter(F.col("slot") < 1 << FEATURE_BITS).select("slot", *(ratio(f, n1).alias(f) for f, n1 in zip(FAULTS, marked)))
     said = said.filter(" or ".join(f"{f} != 0" for f in FAULTS)).toArrow().to_pandas().sort_values("slot")
     slots = said["slot"].to_numpy(np.int64)
-    base = tuple(m / n if n else 0.0 for m in marked)
+    base = tuple((m + 0.5) / (n + 5.0) if n else 0.0 for m in marked)  # a handful of labels says little
     if not n or not len(slots):
         return Weights(slots, np.zeros((len(FAULTS), len(slots))), (0.0,) * len(FAULTS), base)
     spoken = spark.sparkContext.broadcast(slots)
