@@ -159,6 +159,8 @@ def learn(docs: DataFrame) -> Model:
         c[np.searchsorted(np.array(names, object), counts["lang"].to_numpy(object)), counts["slot"].to_numpy(np.int64)] = counts["n"]
 
     def odds(part: np.ndarray) -> np.ndarray:
+        if not names:
+            return part.astype(np.float32)
         p = np.log((part + 0.5) / (part.sum(1, keepdims=True) + 0.5 * part.shape[1]))
         return (p - p.mean(0, keepdims=True)).astype(np.float32)
 
