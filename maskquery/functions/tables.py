@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
@@ -20,5 +23,16 @@ class PatchGrid:
                 yield y, min(y + patch, height), x, min(x + patch, width)
 
 
+@udtf(returnType="grid_idx int, params map<string, string>")
+class ParamGrid:
+    """All combinations of parameter lists, ``param_grid('{"a": [1, 3], "b": [true]}')``, the last list varying fastest."""
+
+    def eval(self, lists: str):
+        given = json.loads(lists)
+        for i, values in enumerate(itertools.product(*(v or [None] for v in given.values()))):
+            yield i, {k: None if v is None else json.dumps(v) for k, v in zip(given, values)}
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("patch_grid", PatchGrid)
+    spark.udtf.register("param_grid", ParamGrid)

@@ -177,7 +177,7 @@ def e8_dedupe_consecutive(spark, sf):
 
 
 def geojson_docs(spark, sf):
-    """One FeatureCollection per sample: boxes as polygons, every third one as a MultiPolygon with a second part."""
+    """One FeatureCollection per sample: boxes as polygons, every third one with a second part as a MultiPolygon or collection."""
     n = lambda c: c.cast("string")
     x0, y0, x1, y1 = F.col("x0"), F.col("y0"), F.col("x0") + F.col("w"), F.col("y0") + F.col("h")
 
@@ -189,13 +189,16 @@ def geojson_docs(spark, sf):
     geom = F.when(multi, F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), ring(0), F.lit(","), ring(1000), F.lit("]}"))).otherwise(
         F.concat(F.lit('{"type":"Polygon","coordinates":'), ring(0), F.lit("}"))
     )
+    member = lambda dx: F.concat(F.lit('{"type":"Polygon","coordinates":'), ring(dx), F.lit("}"))
+    both = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), member(0), F.lit(","), member(1000), F.lit("]}"))
+    geom = F.when(F.col("inst_id") % 6 == 0, both).otherwise(geom)
     feat = F.concat(F.lit('{"type":"Feature","properties":{"id":"'), n(F.col("inst_id")), F.lit('"},"geometry":'), geom, F.lit("}"))
     b = view(spark, sf, "fx_boxes").where("side = 'gt'")
     feats = b.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_list(feat)), ",").alias("f"))
     return feats.select("sample_id", F.concat(F.lit('{"type":"FeatureCollection","features":[null,{"type":"Feature","geometry":null},'), "f", F.lit("]}")).alias("text"))
 
 
-@query("a3_read_geojson", f"SELECT sample_id, CAST(inst_id AS STRING) AS id, CASE WHEN inst_id % 3 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type FROM {GT}")
+@query("a3_read_geojson", f"SELECT sample_id, CAST(inst_id AS STRING) AS id, CASE WHEN inst_id % 6 = 0 THEN 'GeometryCollection' WHEN inst_id % 3 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS geom_type FROM {GT}")
 def a3_read_geojson(spark, sf):
     f = VE.parse_geojson(geojson_docs(spark, sf))
     return f.select("sample_id", F.col("props")["id"].alias("id"), "geom_type")
@@ -229,7 +232,8 @@ def a14_write_predicted_masks(spark, sf):
 @query(
     "a15_write_layers",
     f"""SELECT 'polygons' AS layer, COUNT(*) AS n, CAST(0 AS BIGINT) AS pairs FROM {GT}
-UNION ALL SELECT 'overlaps', COUNT(*), COUNT(*) FROM fx_dt_overlap""",
+UNION ALL SELECT 'overlaps', COUNT(*), COUNT(*) FROM fx_dt_overlap
+UNION ALL SELECT UNNEST(['centerlines', 'residual_overlaps', 'midpoints', 'transects']), 0, 0""",
 )
 def a15_write_layers(spark, sf):
     from maskquery.plans.scoring import dt_runs
@@ -237,8 +241,13 @@ def a15_write_layers(spark, sf):
     path = scratch(spark)
     pairs = R.overlap_pixels(dt_runs(spark, sf)).select("sample_id", F.col("a_id").alias("pair_i"), F.col("b_id").alias("pair_j"))
     VE.write_layers({"polygons": polys(spark, sf), "overlaps": pairs}, path)
-    back = spark.read.option("mergeSchema", "true").parquet(path)
-    return back.groupBy("layer").agg(F.count(F.lit(1)).alias("n"), F.count("pair_i").alias("pairs"))
+    out = None
+    for name in VE.LAYERS:
+        layer = VE.read_layer(spark, path, name)
+        pairs = F.count("pair_i") if "pair_i" in layer.columns else F.lit(0).cast("long")
+        one = layer.agg(F.count(F.lit(1)).alias("n"), pairs.alias("pairs")).select(F.lit(name).alias("layer"), "n", "pairs")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # --- rasterising and tracing -------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskquery.functions import scalars as S
@@ -10,7 +12,7 @@ from maskquery.operators import trials as TR
 from maskquery.operators import validate as V
 from maskquery.plans.registry import query
 from maskquery.plans.scoring import rounded
-from maskquery.plans.views import table, view
+from maskquery.plans.views import COMMON, table, view
 from maskquery.sources import reports as RP
 from maskquery.sources import manifests as MF
 
@@ -207,18 +209,27 @@ def b12_drop_log_noise(spark, sf):
     return view(spark, sf, "fx_log_lines").where(~S.is_noise(F.col("line")))
 
 
+def event_log_stream(spark, sf_dir):
+    """The events table as a stream of log lines."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"events_{uuid.uuid4().hex}"
+    events.createOrReplaceTempView(name)
+    return spark.sql(COMMON["fx_log_lines"].replace("FROM events", f"FROM {name}"))
+
+
 @query("k1_stream_log_filter", NOISE_SQL)
 def k1_stream_log_filter(spark, sf):
     from maskquery.streaming import logs as L
 
-    return L.drain(L.drop_noise(L.event_log_stream(spark, sf)))
+    return L.drain(L.drop_noise(event_log_stream(spark, sf)))
 
 
 @query("k2_stream_training_metrics", f"WITH {LOG} SELECT * FROM ep")
 def k2_stream_training_metrics(spark, sf):
     from maskquery.streaming import logs as L
 
-    return L.training_metrics(L.event_log_stream(spark, sf))
+    return L.training_metrics(event_log_stream(spark, sf))
 
 
 @query(

@@ -291,3 +291,20 @@ def l4_patch_grid_udtf(spark, sf):
     register(spark)
     view(spark, sf, "fx_sections").createOrReplaceTempView("sections_for_grid")
     return spark.sql("SELECT s.section_id, g.* FROM sections_for_grid s, LATERAL patch_grid(s.height, s.width, 1024, 1024) g")
+
+
+@query(
+    "l4_param_grid_udtf",
+    """WITH m AS (SELECT * FROM (VALUES (1), (3), (5)) v(a)), e AS (SELECT * FROM (VALUES (FALSE), (TRUE)) v(b))
+SELECT section_id, CAST(ROW_NUMBER() OVER (PARTITION BY section_id ORDER BY a, b) - 1 AS INT) AS grid_idx, a AS min_distance, b AS exclude_border FROM fx_sections, m, e""",
+)
+def l4_param_grid_udtf(spark, sf):
+    from maskquery.functions.tables import register
+
+    register(spark)
+    view(spark, sf, "fx_sections").createOrReplaceTempView("sections_for_params")
+    grid = """'{"min_distance": [1, 3, 5], "exclude_border": [false, true]}'"""
+    return spark.sql(
+        f"""SELECT s.section_id, g.grid_idx, CAST(g.params['min_distance'] AS INT) AS min_distance, CAST(g.params['exclude_border'] AS BOOLEAN) AS exclude_border
+        FROM sections_for_params s, LATERAL param_grid({grid}) g"""
+    )

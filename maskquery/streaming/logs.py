@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from maskquery.functions.scalars import is_noise, metric_values
 from maskquery.operators.numbering import numbered
-from maskquery.plans.views import COMMON, table
 from maskquery.session import shared_dir
 
 
@@ -19,15 +18,6 @@ def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("run"), F.col("value").alias("line"))
 
 
-def event_log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of log lines."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"events_{uuid.uuid4().hex}"
-    events.createOrReplaceTempView(name)
-    return spark.sql(COMMON["fx_log_lines"].replace("FROM events", f"FROM {name}"))
-
-
 def drop_noise(lines: DataFrame) -> DataFrame:
     """Stateless filter, the same expression as in batch."""
     return lines.where(~is_noise(F.col("line")))
@@ -51,8 +41,8 @@ def drain(stream: DataFrame) -> DataFrame:
 def training_metrics(stream: DataFrame) -> DataFrame:
     """Metric lines of a stream ``(run, line_no, line)`` with the running epoch of each run.
 
-    Each batch numbers its own lines and adds what earlier batches already wrote for the run. A batch overwrites its
-    own folder only, so replaying one after a failure gives the same rows.
+    Each batch numbers its own lines from the count of its run so far. The counts after a batch are one small table, a row per run;
+    a batch reads the one before and overwrites its own, so replaying it after a failure gives the same rows.
     """
     spark, out = stream.sparkSession, _folder(stream.sparkSession)
     names = ("accuracy", "loss", "val_accuracy", "val_loss")
@@ -62,14 +52,12 @@ def training_metrics(stream: DataFrame) -> DataFrame:
     def write(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
         mine = numbered(batch, ["run"], "line_no", "n")
-        paths = [f"{out}/data/batch_id={i}" for i in range(batch_id)]
-        if paths:
-            seen = s.read.schema(schema).parquet(*paths).groupBy("run").agg(F.max("epoch").alias("seen"))
-            mine = mine.join(seen, "run", "left").na.fill(0, ["seen"])
-        else:
-            mine = mine.withColumn("seen", F.lit(0))
+        seen = s.read.schema("run string, seen long").parquet(f"{out}/counts/{batch_id - 1}") if batch_id else s.createDataFrame([], "run string, seen long")
+        mine = mine.join(seen, "run", "left").na.fill(0, ["seen"])
         rows = mine.select("run", (F.col("seen") + F.col("n")).cast("int").alias("epoch"), *[F.col("m")[i].alias(c) for i, c in enumerate(names)])
         rows.write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
+        own = batch.groupBy("run").agg(F.count(F.lit(1)).alias("seen"))
+        seen.unionByName(own).groupBy("run").agg(F.sum("seen").alias("seen")).write.mode("overwrite").parquet(f"{out}/counts/{batch_id}")
 
     q = hits.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     q.awaitTermination()

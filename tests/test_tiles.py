@@ -65,3 +65,22 @@ def test_components_of_large_sample_numbers(spark):
         (1 << 24, 2, 9, 2, 5),
         ((1 << 31) - 1, 1, 0, 0, 3),
     ]
+
+
+def test_polygon_parts_of_collections(spark):
+    from maskquery.sources import vectors
+
+    ring = "[[[0,0],[4,0],[4,4],[0,0]]]"
+    polygon = f'{{"type":"Polygon","coordinates":{ring}}}'
+    multi = f'{{"type":"MultiPolygon","coordinates":[{ring},{ring}]}}'
+
+    def parts(*geometries):
+        features = ",".join(f'{{"type":"Feature","properties":{{}},"geometry":{g}}}' for g in geometries)
+        docs = spark.createDataFrame([(f'{{"type":"FeatureCollection","features":[{features}]}}',)], "text string")
+        return vectors.polygon_parts(vectors.parse_geojson(docs)).count()
+
+    assert parts(polygon, f'{{"type":"GeometryCollection","geometries":[{polygon},{multi}]}}', '{"type":"GeometryCollection","geometries":[]}') == 4
+    with pytest.raises(Exception, match="in a collection: Point"):
+        parts('{"type":"GeometryCollection","geometries":[{"type":"Point","coordinates":[1,2]}]}')
+    with pytest.raises(Exception, match="layer: LineString"):
+        parts('{"type":"LineString","coordinates":[[1,2],[3,4]]}')
