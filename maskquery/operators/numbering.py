@@ -6,6 +6,8 @@ numbered inside their block. A hot group is thus spread over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -30,5 +32,6 @@ def numbered(df: DataFrame, keys: list[str], order: str, name: str, block: int =
 
 
 def hash_numbered(df: DataFrame, keys: list[str], hashed: str, name: str) -> DataFrame:
-    """1-based position by a hex digest column (a seeded shuffle); blocks are digest prefixes."""
-    return block_numbered(df, keys, F.substring(F.col(hashed), 1, 3), [F.col(hashed)], name)
+    """1-based position by a hex digest column (a seeded shuffle); blocks are digest prefixes as long as keeps them small."""
+    digits = max(3, math.ceil(math.log(max(1, df.count()) / BLOCK, 16)))
+    return block_numbered(df, keys, F.substring(F.col(hashed), 1, digits), [F.col(hashed)], name)
