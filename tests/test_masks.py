@@ -195,6 +195,19 @@ def test_exact_quantiles(spark):
         assert q == pytest.approx(v[math.floor(s)] + (v[math.ceil(s)] - v[math.floor(s)]) * (s - math.floor(s)))
 
 
+def test_exact_quantiles_with_an_outlier(spark, monkeypatch):
+    import numpy as np
+
+    from maskquery.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", 20)
+    r = random.Random(7)
+    v = [r.choice([r.random(), r.randrange(3), 0.5]) for _ in range(500)] + [1e12, -1e9, 1e12]
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    got = exact_quantiles(spark.createDataFrame([(float(x),) for x in v], "x double"), "x", probs)
+    assert got == pytest.approx(list(np.quantile(np.array(v), probs)), rel=1e-12)
+
+
 def test_components_are_a_partition(spark):
     r = random.Random(10)
     e = [(r.randrange(200), r.randrange(200)) for _ in range(150)]
