@@ -148,11 +148,6 @@ def stride_truncated(patch: Column, overlap: Column) -> Column:
     return (patch * (F.lit(1.0) - overlap)).cast("int")
 
 
-def label_colour(label: Column) -> Column:
-    """RGB of a label in overlays."""
-    return F.array(*[(F.lit(k) * label.cast("long")) % 255 for k in (37, 97, 173)])
-
-
 def is_noise(line: Column) -> Column:
     """True for a log line that matches any of the noise patterns."""
     return line.rlike("|".join(f"(?:{p})" for p in LOG_NOISE))

@@ -15,13 +15,6 @@ def semantic_violations(pixels: DataFrame, lo: int = 0, hi: int = 2, allow_float
     return pixels.where(~F.coalesce(ok, F.lit(False)))
 
 
-def checked_semantic(c: Column, lo: int = 0, hi: int = 2) -> Column:
-    """A label column that fails the job on a value that is no label."""
-    v = F.rint(c.cast("double"))
-    ok = (F.abs(c - v) <= 1e-4) & v.between(lo, hi)
-    return F.when(ok, v.cast("int")).otherwise(F.raise_error(F.concat(F.lit("not a label: "), c.cast("string"))))
-
-
 def shape_violations(images: DataFrame) -> DataFrame:
     """Samples whose images differ in shape, have no image, or whose mask differs in height or width."""
     is_img = F.col("kind") == "image"

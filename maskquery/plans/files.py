@@ -72,6 +72,18 @@ def a18_collect_split_pairs(spark, sf):
     return MF.collect_split_pairs(splits, files)
 
 
+@query(
+    "a18_labelled_pairs",
+    f"""WITH {CONFIGS} SELECT config_path, split, CONCAT(image_dir, '/p', '.tif') AS image, CONCAT(label_dir, '/p.txt') AS label FROM ds
+WHERE split = CASE WHEN c_custkey % 4 = 0 THEN 'val' ELSE 'test' END AND c_custkey % 3 <> 0""",
+)
+def a18_labelled_pairs(spark, sf):
+    splits = MF.dataset_splits(configs(spark, sf))
+    images = splits.select("config_path", F.concat("image_dir", F.lit("/p.tif")).alias("path"))
+    labels = splits.where(F.regexp_extract("config_path", r"(\d+)", 1).cast("int") % 3 != 0).select("config_path", F.concat("label_dir", F.lit("/p.txt")).alias("path"))
+    return MF.collect_split_pairs(splits, images.unionByName(labels).select("path"), labelled=True)
+
+
 @query("c16_missing", "SELECT CONCAT('/d/mask/', c_name, '_labels.tif') AS path FROM customer WHERE c_acctbal <= 0")
 def c16_missing(spark, sf):
     want = table(spark, sf, "customer").select(F.concat(F.lit("/d/mask/"), F.col("c_name"), F.lit("_labels.tif")).alias("path"))

@@ -135,22 +135,27 @@ def dataset_splits(configs: DataFrame) -> DataFrame:
     return c.select("config_path", "split", "root", "image_dir", labels.alias("label_dir"))
 
 
-def label_map(names: Column) -> Column:
-    """Class names as a map by index, from a list."""
-    return F.map_from_entries(F.transform(names, lambda n, i: F.struct(i, n)))
+def collect_split_pairs(splits: DataFrame, files: DataFrame, order: tuple[str, ...] = ("test", "val"), labelled: bool = False, strict: bool = False) -> DataFrame:
+    """Images of each config's first defined split, with the path their label file would have.
 
-
-def collect_split_pairs(splits: DataFrame, files: DataFrame, order: tuple[str, ...] = ("test", "val")) -> DataFrame:
-    """Images of each config's first defined split, with the path their label file would have."""
+    ``labelled`` leaves out images whose label file is not listed; with ``strict`` a config that is left without an image is an error.
+    """
     rank = F.array_position(F.array(*[F.lit(s) for s in order]), F.col("split"))
     use = splits.where(rank > 0).withColumn("_r", rank)
     best = use.groupBy("config_path").agg(F.min("_r").alias("_r"))
     chosen = use.join(best, ["config_path", "_r"]).drop("_r")
     imgs = with_stem(files).where(F.col("path").rlike(r"(?i)\.(tiff?|png|jpe?g)$"))
     hit = chosen.join(imgs, F.col("image_dir") == F.col("dir"))
-    return hit.select(
+    pairs = hit.select(
         "config_path", "split", F.col("path").alias("image"), F.concat(F.col("label_dir"), F.lit("/"), F.col("stem"), F.lit(".txt")).alias("label")
     )
+    if labelled:
+        pairs = existing(pairs, "label", files).select(*pairs.columns)
+    if strict:
+        bare = splits.select("config_path").distinct().join(pairs.select("config_path"), "config_path", "left_anti").first()
+        if bare is not None:
+            raise ValueError(f"no image in any of the splits {', '.join(order)} of {bare[0]}")
+    return pairs
 
 
 def existing(rows: DataFrame, path_col: str, files: DataFrame) -> DataFrame:
