@@ -42,10 +42,13 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter output q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 #: Words of class, id and role values that name page furniture.
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disclaimer "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer "
     "dialog disqus footer gdpr header menu modal nav navbar navigation newsletter notice notices overlay popup promo promoted related "
     "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+_ABOUT_OTHERS = ("has-", "with-", "no-", "is-", "without-", "hide-", "show-")
+#: Elements that hold a page or its article; their names say how they look.
+_FRAMES = frozenset(("html", "body", "article", "main"))
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I | re.S)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true)", re.I)
@@ -55,9 +58,10 @@ _SPACE = re.compile(r"\s+")
 def _furniture(attributes: str) -> bool:
     for m in _NAMES.finditer(attributes):
         value = m[1] or m[2] or m[3] or ""
-        value = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-        if not FURNITURE.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        value = re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower()
+        for name in value.split():  # has-sidebar and the like speak of other elements
+            if not name.startswith(_ABOUT_OTHERS) and not FURNITURE.isdisjoint(re.split(r"[^a-z]+", name)):
+                return True
     return bool(attributes and _HIDDEN.search(attributes))
 
 
@@ -120,7 +124,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     del stack[depth:]
                     region = stack[-1][1] if stack else OPEN
         inner = region
-        if region != CHROME and ((name in _CHROME and not (name == "header" and region == ARTICLE)) or _furniture(m[3])):
+        if region != CHROME and ((name in _CHROME and not (name == "header" and region == ARTICLE)) or (name not in _FRAMES and _furniture(m[3]))):
             inner = CHROME
         elif name in _MAIN and region != CHROME:
             inner = ARTICLE

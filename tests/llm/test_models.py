@@ -124,6 +124,8 @@ def test_html_blocks():
     assert [t for r, t in html_text.blocks(PAGE) if r == html_text.ARTICLE] == ["A & B", "One two – three four", "five six", "a b", "End <p> &unknown; &am"]
     assert not [t for r, t in html_text.blocks(PAGE) if r == html_text.OPEN]
     assert html_text.blocks("") == [] and html_text.blocks("<p") == [] and html_text.blocks("<!-- x") == []
+    framed = '<body class="nav-open"><div class="content has-sidebar"><article class="post ad-free comments-open"><p>kept</p></article></div><div role="complementary">x</div>'
+    assert [t for r, t in html_text.blocks(framed) if r != html_text.CHROME] == ["kept"]
     assert html_text.blocks("plain") == [(html_text.OPEN, "plain")]
 
 
