@@ -35,8 +35,8 @@ VOCABULARY, END = "word_bpe_49k.json", 2
 CHUNK = 8
 SHARD_TOKENS = 1 << 18
 CACHE_WORDS, CACHE_PARTS = 800_000, 200_000
-#: Documents a range holds, about.
-RANGE_ROWS = 8192
+#: Documents a range holds, about, and how many ranges there are at most; beyond that ranges grow.
+RANGE_ROWS, MOST_RANGES = 8192, 20_000
 
 
 class Levels:
@@ -205,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
             yield close()
 
     n = docs.count()
-    ranges = max(1, -(-n // RANGE_ROWS))
+    ranges = min(MOST_RANGES, max(1, -(-n // RANGE_ROWS)))
     narrow = docs.select("doc_id", "text").repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", F.md5("text"))
     narrow = narrow.withColumn("part", F.spark_partition_id())
     narrow.mapInArrow(encode, f"{_SHARD}, doc_ids array<{kind}>").write.option("compression", "zstd").parquet(path)
@@ -214,8 +214,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The shards with ``base``, the number of ids in all shards before."""
     shards = spark.read.parquet(path)
-    # One row per shard of counts; ranges of 8192 documents make it a ten-thousandth of the documents or less, so it is summed in
-    # two steps: shards of a partition by a window, partitions by the blocked running sum below.
+    # Counts are summed in two steps: shards inside their partition, partitions (few) by the blocked running sum below.
     totals = shards.groupBy("part").agg(F.sum("n").alias("m"))
     before = _running(totals)
     inside = shards.select("part", "shard", "n")
