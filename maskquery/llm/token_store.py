@@ -26,6 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from maskquery.llm.subwords import byte_letters, vocabulary_path
 from maskquery.llm.text import ragged, slices
@@ -217,16 +218,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     # Counts are summed in two steps: shards inside their partition, partitions (few) by the blocked running sum below.
     totals = shards.groupBy("part").agg(F.sum("n").alias("m"))
     before = _running(totals)
-    inside = shards.select("part", "shard", "n")
-    a, b = inside.alias("a"), inside.alias("b")
-    earlier = a.join(b, (F.col("a.part") == F.col("b.part")) & (F.col("b.shard") < F.col("a.shard"))).groupBy("a.part", "a.shard").agg(F.sum("b.n").alias("inner"))
-    return shards.join(before, "part").join(earlier, ["part", "shard"], "left").withColumn("base", F.col("before") + F.coalesce("inner", F.lit(0))).drop("before", "inner")
+    inner = F.sum("n").over(W.partitionBy("part").orderBy("shard")) - F.col("n")
+    earlier = shards.select("part", "shard", inner.alias("inner"))
+    return shards.join(before, "part").join(earlier, ["part", "shard"]).withColumn("base", F.col("before") + F.col("inner")).drop("before", "inner")
 
 
 def _running(totals: DataFrame, block: int = 1024) -> DataFrame:
     """``part, before``: the sum of ``m`` over smaller parts, block sums first."""
-    from pyspark.sql import Window as W
-
     t = totals.withColumn("block", (F.col("part") / block).cast("int"))
     sums = t.groupBy("block").agg(F.sum("m").alias("m")).withColumn("one", F.lit(0))
     upto = sums.select("block", (F.sum("m").over(W.partitionBy("one").orderBy("block")) - F.col("m")).alias("start"))
