@@ -16,8 +16,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that repeat, or differ by a word from, an earlier line."""
-    return line_dedup.deduped(docs)
+    """Documents without the lines that repeat an earlier line, or nearly so."""
+    return line_dedup.deduped(docs, line_dedup.by_length)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
