@@ -1,4 +1,4 @@
-"""A fixed-size map of 64-bit keys: what cannot be in a set is dropped before the shuffle of an exact join."""
+"""A map of 64-bit keys, sized by their number within bounds: what cannot be in a set is dropped before the shuffle of an exact join."""
 
 from __future__ import annotations
 
@@ -7,23 +7,30 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The map takes 2 MB whatever the number of keys; a fuller one lets more rows through to the join and loses none.
-MAP_BITS = 24
+#: The map has 2^24 to 2^29 slots (2 to 64 MB), ``ROOM`` or more a key in between; a fuller one lets more rows through to the join
+#: and loses none.
+MAP_BITS, MOST_BITS, ROOM = 24, 29, 16
+
+
+def map_bits(n: int) -> int:
+    """Binary logarithm of the slots for n keys."""
+    return min(MOST_BITS, max(MAP_BITS, (ROOM * n - 1).bit_length()))
 
 
 def slot_map(keys: DataFrame) -> bytes:
     """The bitmap of the upper bits of ``keys``' only column, a well mixed long."""
-    slot = F.shiftrightunsigned(keys.columns[0], 64 - MAP_BITS).cast("int")
-    rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 3).alias("byte"), F.expr("shiftleft(1, slot & 7)").alias("bit"))
-    got = rows.groupBy("byte").agg(F.bit_or("bit").alias("bits")).toArrow().to_pandas()
-    bits = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    bits[got["byte"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
+    size = map_bits(keys.count())
+    slot = F.shiftrightunsigned(keys.columns[0], 64 - size)
+    rows = keys.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    got = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << (size - 6), "<i8")
+    bits[got["word"].to_numpy()] = got["bits"].to_numpy()
     return bits.tobytes()
 
 
 def within(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Whether the slots of the keys are set; ``bits`` is the bitmap as bytes."""
-    slot = key.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    slot = key.view(np.uint64) >> np.uint64(65 - (8 * len(bits)).bit_length())
     return ((bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
