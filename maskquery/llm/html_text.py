@@ -7,8 +7,10 @@
    a suffix array to the depth that matters, as a position belongs to a repeated substring of ``DEPTH`` tokens or more exactly if
    some ``DEPTH`` suffixes over it share their beginning with another page. Suffixes are grouped by the hash of that beginning,
    with the least and the largest page as partial aggregates, so a host of any size is spread over all tasks.
-3. Text. Furniture goes, and so does open ground of which half or more is covered by substrings that repeat across distinct
-   pages of the host; the article and the unique runs of open ground stay, in page order.
+   Pages of a host with the same blocks are copies and count as one page. A block of fewer tokens than ``DEPTH`` counts as
+   repeated on ``SHORT_SHARE`` of the host's distinct pages, and ``SHORT_PAGES`` of them, at least.
+3. Text. Furniture goes. Of open ground of which half or more is covered by substrings that repeat across distinct pages of the
+   host, the covered runs go and the unique ones stay; other open ground and the article stay whole, in page order.
 
 Defined cases: a null or empty page has no text; markup that is never closed ends where its parent or the page ends; a tag that
 is cut off by the end of the page is markup; pages of any length; rows with the same id and html are one page; a url without a
@@ -33,6 +35,7 @@ from maskquery.llm.text import NOT_SPACE, bounds, flat, gram_hashes, mix, ragged
 #: Tokens of the shortest repeated substring; a block of fewer is one substring.
 DEPTH = 6
 COVERED = 0.5
+SHORT_SHARE, SHORT_PAGES = 0.5, 3
 ARTICLE, OPEN, CHROME = 0, 1, 2
 
 _DROPPED = frozenset("script style noscript template svg iframe object canvas math head title select textarea button video audio".split())
@@ -137,16 +140,12 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def _page_key(page_id: Column, page: Column) -> Column:
-    return F.xxhash64(page_id, page)
-
-
 def _host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """``page_id, url, page, regions, texts`` for every row; ``page`` is a number from the id and html."""
+    """``page_id, url, page, regions, texts`` for every row; ``page`` is 0, to be numbered."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +158,7 @@ def page_blocks(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), regions, texts], ["page_id", "url", "page", "regions", "texts"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    narrow = pages.select("page_id", "url", _page_key(F.col("page_id"), F.col("html")).alias("page"), "html")
+    narrow = pages.select("page_id", "url", F.lit(0).cast("long").alias("page"), "html")
     return narrow.mapInArrow(read, f"page_id {kind}, url string, page long, regions array<tinyint>, texts array<string>")
 
 
@@ -188,28 +187,41 @@ def suffixes(parsed: DataFrame) -> DataFrame:
             grams = mix(grams + mix(hosts.view(np.uint64))[of])
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array((at - first[of]).astype(np.int32)), pa.array(n[of].astype(np.int32)), pa.array(signed(grams))],
-                ["page", "block", "region", "at", "n", "head"],
+                [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), pa.array((at - first[of]).astype(np.int32)), pa.array(n[of].astype(np.int32)), pa.array(signed(grams))],
+                ["host", "page", "block", "region", "at", "n", "head"],
             )
 
     spread = parsed.select(_host(F.col("url")).alias("host"), "page", F.posexplode(F.arrays_zip("regions", "texts")).alias("block", "b"))
     spread = spread.filter(F.col("b.regions") != ARTICLE).select(F.xxhash64("host").alias("host"), "page", "block", F.col("b.regions").alias("region"), F.col("b.texts").alias("text"))
-    return spread.mapInArrow(read, "page long, block int, region tinyint, at int, n int, head long")
+    return spread.mapInArrow(read, "host long, page long, block int, region tinyint, at int, n int, head long")
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (``page_id, url, html``)."""
-    parsed = keep(page_blocks(pages), "html-blocks")
+    same = F.xxhash64(_host(F.col("url")), "regions", "texts")  # copies of a page are one page
+    parsed = keep(page_blocks(pages).withColumn("page", same), "html-blocks")
     array = suffixes(parsed)
-    repeated = keep(array.groupBy("head").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).filter("lo < hi").select("head"), "html-repeated")
+    long_ = array.filter(F.col("n") >= DEPTH).groupBy("head").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).filter("lo < hi").select("head")
+    short = array.filter(F.col("n") < DEPTH).select("host", "head", "page").distinct().groupBy("host", "head").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= SHORT_PAGES)
+    sizes = parsed.select(F.xxhash64(_host(F.col("url"))).alias("host"), "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("size"))
+    short = short.join(sizes, "host").filter(F.col("pages") >= SHORT_SHARE * F.col("size")).select("head")
+    repeated = keep(long_.unionByName(short), "html-repeated")
     ground = array.filter((F.col("region") == OPEN) & maybe_in(repeated)("head"))
-    covered = ground.join(repeated, "head", "left_semi").distinct().groupBy("page", "block", "n").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    covered = ground.join(repeated, "head", "left_semi").select("page", "block", "n", "at").distinct().groupBy("page", "block", "n").agg(F.array_sort(F.collect_set("at")).alias("ats"))
     wide = F.least(F.lit(DEPTH), F.col("n"))
     share = F.aggregate("ats", F.struct(F.lit(0).alias("c"), F.lit(0).alias("to")), lambda s, a: F.struct((s["c"] + a + wide - F.greatest(a, s["to"])).alias("c"), (a + wide).alias("to")))["c"]
-    gone = keep(covered.filter(share >= COVERED * F.col("n")).groupBy("page").agg(F.collect_set("block").alias("gone")), "html-gone")
-    out = parsed.join(gone, "page", "left")
-    kept = F.filter(F.arrays_zip("regions", "texts"), lambda b, i: (b["regions"] != CHROME) & ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["texts"]), "\n")
+    unique = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.flatten(F.transform("ats", lambda a: F.sequence(a, a + wide - 1))))
+    cut = covered.filter(share >= COVERED * F.col("n")).select("page", F.struct("block", unique.alias("unique")).alias("cut"))
+    cut = keep(cut.groupBy("page").agg(F.map_from_entries(F.collect_list("cut")).alias("cuts")), "html-cuts")
+    out = parsed.join(cut, "page", "left")
+
+    def left(b: Column, i: Column) -> Column:
+        words = F.split(b["texts"], " ")
+        kept = F.try_element_at("cuts", i)
+        return F.struct(b["regions"].alias("regions"), F.when(kept.isNull(), b["texts"]).otherwise(F.array_join(F.transform(kept, lambda k: F.get(words, k)), " ")).alias("texts"))
+
+    blocks_left = F.filter(F.transform(F.arrays_zip("regions", "texts"), left), lambda b: (b["regions"] != CHROME) & (b["texts"] != ""))
+    text = F.array_join(F.transform(blocks_left, lambda b: b["texts"]), "\n")
     return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
