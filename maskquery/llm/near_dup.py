@@ -1,9 +1,9 @@
-"""N-gram Jaccard join by a MinHash LSH forest.
+"""N-gram Jaccard join by MinHash in fixed bands.
 
 A document is the set of its runs of five words (A-Z lower-cased, split at ASCII white space; a text of fewer words is one run).
-Documents with equal sets are one class. Each of ``TREES`` prefix tries holds a signature of ``DEEPEST`` least hashes per class;
-matched prefixes start at full length and are shortened until a pair of the wanted similarity shares a prefix in some tree with
-the target recall. Classes under one prefix are candidates; their sets are compared exactly, in blocks.
+Documents with equal sets are one class. Each of ``TREES`` bands has one key per class, made of as many least hashes (``DEEPEST`` at
+most) as let a pair of the wanted similarity share a key in some band with the target recall; the number is fixed before any data
+is read. Classes with one key are candidates; their sets are compared exactly, in blocks.
 
 Defined cases: null, empty and wordless texts have no runs and link with nothing; texts of any length take part whole; repeated
 rows are copies of each other; a null id is a document whose id is null, counted like any other; an empty table gives an empty
