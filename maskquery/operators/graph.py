@@ -1,4 +1,4 @@
-"""Iterative operators over sparse pair tables: components, suppression, merging and first-come assignment.
+"""Iterative operators over sparse pair tables: components, suppression and merging.
 
 Each round is a handful of joins and grouped aggregates whose result is written to the checkpoint folder, so the
 plan stays short and a lost executor costs one round. No round gathers a component in one task.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskquery.operators.choices import mask_places, suppressed
 from maskquery.operators.runs import mask_areas, mask_iom, mask_iou, merge_runs, run_adjacency, union_masks
 from maskquery.session import cut_lineage
 
@@ -132,31 +133,13 @@ def directed_by_score(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     )
 
 
-def suppressed(ranked: DataFrame) -> DataFrame | None:
-    """Rows that a greedy pass in rank order drops, given every conflict ``(sample_id, hi, lo)``; null without any.
-
-    A row with no live superior is kept, which drops all its inferiors; repeat on what is left.
-    """
-    lo, hi = ["sample_id", "lo"], ["sample_id", "hi"]
-    live = cut_lineage(ranked.select("sample_id", "hi", "lo"))
-    out: DataFrame | None = None
-    while not live.isEmpty():
-        beaten = live.select("sample_id", F.col("lo").alias("hi")).distinct()
-        kept = live.join(beaten, hi, "left_anti").select(*hi).distinct()
-        gone = cut_lineage(live.join(kept, hi, "left_semi").select(*lo).distinct())
-        out = gone if out is None else out.unionByName(gone)
-        rest = live.join(gone, lo, "left_anti")
-        live = cut_lineage(rest.join(gone.withColumnRenamed("lo", "hi"), hi, "left_anti"))
-    return out
-
-
 def nms(masks: DataFrame, runs: DataFrame, iou_thr: float) -> DataFrame:
     """Masks kept by greedy suppression in score order; a mask goes when its IoU with a kept one exceeds ``iou_thr``.
 
     Masks without any run (no decodable mask) have no conflicts and stay.
     """
     clash = mask_iou(runs).where(F.col("iou") > iou_thr)
-    drop = suppressed(directed_by_score(clash, masks))
+    drop = suppressed(directed_by_score(clash, masks), mask_places(runs))
     if drop is None:
         return masks
     return masks.join(drop.withColumnRenamed("lo", "inst_id"), ["sample_id", "inst_id"], "left_anti")
@@ -170,7 +153,7 @@ def greedy_merge(masks: DataFrame, runs: DataFrame, min_ios: float = 0.5, per_cl
         cat = lambda n: masks.select("sample_id", F.col("inst_id").alias(n), F.col("category_id").alias(n + "_c"))
         pairs = pairs.join(cat("a_id"), ["sample_id", "a_id"]).join(cat("b_id"), ["sample_id", "b_id"]).where("a_id_c = b_id_c")
     ranked = cut_lineage(directed_by_score(pairs, masks))
-    drop = suppressed(ranked)
+    drop = suppressed(ranked, mask_places(runs))
     own = masks.select("sample_id", "inst_id", F.col("inst_id").alias("group_id"))
     if drop is None:
         return union_masks(runs, own)
@@ -181,25 +164,3 @@ def greedy_merge(masks: DataFrame, runs: DataFrame, min_ios: float = 0.5, per_cl
         F.max(F.struct("hi_score", "hi")).getField("hi").alias("group_id")
     )
     return union_masks(runs, keep.unionByName(taken))
-
-
-def serial_choice(
-    pairs: DataFrame, keys: list[str], chooser: str, item: str, turn: Column, prefer: Column
-) -> DataFrame:
-    """First-come assignment: choosers, in ascending ``turn``, each take their most preferred item still free.
-
-    A choice is final once no chooser with an earlier turn still competes for that item. All final choices of a
-    round leave the pair table together with their items; the earliest open chooser of every cluster of pairs is
-    always final, so the number of rounds follows local conflict chains, not the size of the data.
-    """
-    ck, ik = [*keys, chooser], [*keys, item]
-    live = cut_lineage(pairs.select(*keys, chooser, item, turn.alias("_turn"), prefer.alias("_pref")))
-    done: DataFrame | None = None
-    while not live.isEmpty():
-        best = live.groupBy(*ck).agg(F.max(F.struct("_pref", item, "_turn")).alias("b"))
-        first = live.groupBy(*ik).agg(F.min("_turn").alias("_first"))
-        final = best.select(*ck, f"b.{item}", "b._turn").join(first, ik).where("_turn = _first")
-        final = cut_lineage(final.select(*keys, chooser, item))
-        done = final if done is None else done.unionByName(final)
-        live = cut_lineage(live.join(final.select(*ck), ck, "left_anti").join(final.select(*ik), ik, "left_anti"))
-    return live.select(*keys, chooser, item) if done is None else done

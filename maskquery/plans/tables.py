@@ -10,6 +10,7 @@ from maskquery.functions import scalars as S
 from maskquery.operators import annotations as A
 from maskquery.operators import trials as TR
 from maskquery.operators import validate as V
+from maskquery.operators.numbering import order_by_score
 from maskquery.plans.registry import query
 from maskquery.plans.scoring import rounded
 from maskquery.plans.views import COMMON, table, view
@@ -468,12 +469,7 @@ def b15_local_to_global(spark, sf):
 
 @query("f1_order_by_score", f"""SELECT sample_id, inst_id, ROW_NUMBER() OVER (PARTITION BY sample_id ORDER BY CAST(COALESCE(score, 0) AS FLOAT) DESC, inst_id DESC) AS pos FROM {DT_BOX}""")
 def f1_order_by_score(spark, sf):
-    from maskquery.operators.numbering import block_numbered
-
-    s = F.coalesce("score", F.lit(0.0)).cast("float")
-    b = view(spark, sf, "fx_cboxes").where("side = 'dt'").select("sample_id", "inst_id", s.alias("s"))
-    order = [F.desc("s"), F.desc("inst_id")]
-    return block_numbered(b, ["sample_id"], F.floor(-F.col("s") * 64), order, "pos").select("sample_id", "inst_id", "pos")
+    return order_by_score(view(spark, sf, "fx_cboxes").where("side = 'dt'")).select("sample_id", "inst_id", "pos")
 
 
 @query("f4_top_detections", f"""SELECT sample_id, inst_id FROM (SELECT sample_id, inst_id, ROW_NUMBER() OVER (PARTITION BY sample_id
