@@ -84,7 +84,7 @@ def normalize_bbox(text: Column) -> Column:
         F.greatest(n[0], n[2]).alias("maxx"),
         F.greatest(n[1], n[3]).alias("maxy"),
     )
-    return F.when(F.size(p) == 4, box).otherwise(F.raise_error(F.lit("bbox must be minx,miny,maxx,maxy")))
+    return F.when(F.size(p) == 4, box).otherwise(F.raise_error(F.lit("a box has four comma-separated numbers")))
 
 
 def bbox_to_window(box: Column) -> Column:

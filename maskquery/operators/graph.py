@@ -89,7 +89,7 @@ def raster_pos(sample: Column, y: Column, x: Column) -> Column:
 
 def scan_node(sample: Column, y: Column, x: Column) -> Column:
     """A pixel as a node: its sample and its place in raster-scan order."""
-    return F.struct(sample.cast("long").alias("sample_id"), (F.shiftleft(y.cast("long"), SCAN_BITS) + x.cast("long")).alias("pos"))
+    return F.struct(sample.alias("sample_id"), (F.shiftleft(y.cast("long"), SCAN_BITS) + x.cast("long")).alias("pos"))
 
 
 def component_runs(runs: DataFrame, connectivity: int) -> DataFrame:

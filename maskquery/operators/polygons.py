@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +9,7 @@ from pyspark.sql import Window as W
 from maskquery.functions import geometry as GE
 from maskquery.operators.graph import label_components
 from maskquery.operators.numbering import block_numbered
+from maskquery.operators.outlines import trace_rings
 from maskquery.operators.runs import merge_runs, paint
 from maskquery.session import cut_lineage
 
@@ -233,82 +231,21 @@ def segmentation_to_runs(anns: DataFrame) -> DataFrame:
 
 
 def segmentation_to_polygons(anns: DataFrame) -> DataFrame:
-    """Polygon lists as polygons: rings with under three points or without area are dropped, one row per ring."""
-    r = anns.select("sample_id", "inst_id", F.posexplode("rings").alias("part", "ring"))
-    ok = (F.size("ring") >= 3) & (GE.distinct_points(F.col("ring")) >= 3) & (F.abs(GE.signed_area(F.col("ring"))) > 0)
-    return r.where(ok).select("sample_id", "inst_id", "part", F.array("ring").alias("rings"))
-
+    """Annotations as polygons, ``sample_id, inst_id, part, rings``.
 
-def trace_rings(label_runs: DataFrame, keys: list[str], flip: bool = True) -> DataFrame:
-    """Outline rings of each label: outer ring first, then holes, along pixel borders.
-
-    A label's runs are gathered in one row, as its polygon is one value of the result anyway, and chained there.
+    Of polygon lists every ring is a part; rings with under three points or without area are dropped. Of run-length masks every
+    outer outline is a part, holes are left out. An annotation with both counts as a polygon list.
     """
-    key_types = ", ".join(f"{k} {label_runs.schema[k].dataType.simpleString()}" for k in keys)
-    schema = f"{key_types}, rings array<array<struct<x:double,y:double>>>, sides int"
-    sign = -1.0 if flip else 1.0
-
-    def trace(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            traced = [_chain([(r["y"], r["x0"], r["x1"]) for r in runs]) for runs in pdf["runs"]]
-            out = pdf[keys].copy()
-            out["rings"] = [[[{"x": float(x), "y": sign * y + 0.0} for x, y in r] for r in rings] for rings, _ in traced]
-            out["sides"] = [n for _, n in traced]
-            yield out
-
-    masks = label_runs.groupBy(*keys).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
-    return masks.mapInPandas(trace, schema)
-
-
-def _chain(runs: list[tuple[int, int, int]]) -> tuple[list[list[tuple[int, int]]], int]:
-    """Closed rings around a set of runs, pixels on the right hand; corners only. Also the number of unit sides."""
-    cells: dict[int, set[int]] = {}
-    for y, a, b in runs:
-        cells.setdefault(int(y), set()).update(range(int(a), int(b)))
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    n = 0
-    for y, xs in cells.items():
-        up, down = cells.get(y - 1, set()), cells.get(y + 1, set())
-        for x in xs:
-            for open_, p, q in (
-                (x not in up, (x, y), (x + 1, y)),
-                (x + 1 not in xs, (x + 1, y), (x + 1, y + 1)),
-                (x not in down, (x + 1, y + 1), (x, y + 1)),
-                (x - 1 not in xs, (x, y + 1), (x, y)),
-            ):
-                if open_:
-                    out.setdefault(p, []).append(q)
-                    n += 1
-    rings = []
-    while out:
-        start = min(out)
-        ring, at, came = [start], start, None
-        while True:
-            opts = out[at]
-            if len(opts) > 1 and came is not None:
-                # where two pixels meet at a corner, turn left so that diagonal neighbours stay in one ring
-                d = (at[0] - came[0], at[1] - came[1])
-                left = (at[0] + d[1], at[1] - d[0])
-                nxt = left if left in opts else opts[0]
-            else:
-                nxt = opts[0]
-            opts.remove(nxt)
-            if not opts:
-                del out[at]
-            came, at = at, nxt
-            if at == start:
-                break
-            ring.append(at)
-        ring.append(start)
-        keep = [ring[0]]
-        for i in range(1, len(ring) - 1):
-            (ax, ay), (bx, by), (cx, cy) = ring[i - 1], ring[i], ring[i + 1]
-            if (bx - ax) * (cy - by) != (by - ay) * (cx - bx):
-                keep.append(ring[i])
-        rings.append(keep + [ring[0]])
-    area = lambda r: abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:])))
-    rings.sort(key=area, reverse=True)
-    return rings, n
+    r = anns.select("sample_id", "inst_id", F.posexplode("rings").alias("part", "ring"))
+    ok = (F.size("ring") >= 3) & (GE.distinct_points(F.col("ring")) >= 3) & (F.abs(GE.signed_area(F.col("ring"))) > 0)
+    lists = r.where(ok).select("sample_id", "inst_id", "part", F.array("ring").alias("rings"))
+    if "rle" not in anns.columns:
+        return lists
+    codes = segmentation_to_runs(anns.where("rings IS NULL AND rle IS NOT NULL"))
+    traced = trace_rings(codes, ["sample_id", "inst_id"], flip=False)
+    outer = F.filter("rings", lambda ring: GE.signed_area(ring) > 0)
+    parts = traced.select("sample_id", "inst_id", F.posexplode(outer).alias("part", "ring"))
+    return lists.unionByName(parts.select("sample_id", "inst_id", "part", F.array("ring").alias("rings")))
 
 
 def vectorize_components(runs: DataFrame, class_value: int, min_area: int = 0, flip: bool = True) -> DataFrame:

@@ -57,12 +57,12 @@ def read_window(tiles: DataFrame, left: int, top: int, right: int, bottom: int,
     """
     left, top = max(left, 0), max(top, 0)
     if left >= right or top >= bottom:
-        raise ValueError("window outside image bounds")
+        raise ValueError("an empty window, or one left of or above the image")
     hit = tiles.where(
         (F.col("x0") < right) & (F.col("y0") < bottom) & (F.col("x0") + F.col("w") > left) & (F.col("y0") + F.col("h") > top)
     )
     if hit.isEmpty():
-        raise ValueError("no tile inside the window")
+        raise ValueError("the window meets no tile")
     dx, dy = (left, top) if shift else (0, 0)
 
     def trim(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,14 +243,19 @@ def score_windows(windows: DataFrame, make_predict_fn: Callable, batch_size: int
 
 
 def overlay_pixels(image: DataFrame, labels: DataFrame) -> DataFrame:
-    """RGB overlay of labels on grey pixels: 45 % image and 55 % label colour, image alone where there is no label."""
-    j = image.join(labels, ["section_id", "y", "x"], "left")
+    """RGB overlay of labels on grey pixels: 45 % image and 55 % label colour, image alone where there is no label.
+
+    Labels with a ``band`` belong to that band of the image.
+    """
+    key = [c for c in ("section_id", "band", "y", "x") if c in labels.columns]
+    at = [c for c in ("section_id", "band", "y", "x") if c in image.columns]
+    j = image.join(labels, key, "left")
     mix = [
         F.when(F.col("label") > 0, F.col("v") * 0.45 + F.lit(0.55) * ((F.lit(k) * F.col("label")) % 255)).otherwise(F.col("v").cast("double"))
         for k in (37, 97, 173)
     ]
     u8 = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(255.0)).cast("int")
-    return j.select("section_id", "y", "x", *[u8(m).alias(n) for m, n in zip(mix, ("r", "g", "b"))])
+    return j.select(*at, *[u8(m).alias(n) for m, n in zip(mix, ("r", "g", "b"))])
 
 
 def write_tiles(tiles: DataFrame, path: str, kind: str) -> None:

@@ -125,7 +125,28 @@ def i4_nms(spark, sf):
     return G.nms(masks, dt_runs(spark, sf), 0.1).select("sample_id", "inst_id")
 
 
-@query("i5_greedy_merge")
+# best first, a mask is dropped if a kept one of its class covers enough of the smaller of both; it joins the best kept one that does
+GREEDY = """WITH RECURSIVE sc AS (SELECT sample_id, inst_id, CAST(COALESCE(score, 0) AS FLOAT) AS s FROM fx_cboxes WHERE side = 'dt'),
+ e AS MATERIALIZED (SELECT o.sample_id, CASE WHEN (p.s, a_id) > (q.s, b_id) THEN a_id ELSE b_id END AS hi, CASE WHEN (p.s, a_id) > (q.s, b_id) THEN b_id ELSE a_id END AS lo, GREATEST(p.s, q.s) AS s
+  FROM fx_dt_overlap o JOIN fx_dt_area a ON a.sample_id = o.sample_id AND a.inst_id = o.a_id JOIN fx_dt_area b ON b.sample_id = o.sample_id AND b.inst_id = o.b_id
+  JOIN sc p ON p.sample_id = o.sample_id AND p.inst_id = o.a_id JOIN sc q ON q.sample_id = o.sample_id AND q.inst_id = o.b_id
+  WHERE CAST(o.inter AS DOUBLE) / LEAST(a.area, b.area) >= 0.2e0 AND a_id % 2 = b_id % 2),
+ st(sample_id, p, kept, turn) USING KEY (sample_id, p) AS (
+  SELECT sample_id, inst_id AS p, TRUE AS kept, 1 AS turn FROM sc WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.sample_id = sc.sample_id AND e.lo = sc.inst_id)
+  UNION
+  (WITH op AS (SELECT e.* FROM e WHERE (SELECT COUNT(*) FROM st) > 0 AND NOT EXISTS (SELECT 1 FROM recurring.st s WHERE s.sample_id = e.sample_id AND s.p = e.lo))
+   SELECT op.sample_id, op.lo AS p, NOT bool_or(coalesce(s.kept, FALSE)) AS kept, 2 AS turn
+   FROM op LEFT JOIN recurring.st s ON s.sample_id = op.sample_id AND s.p = op.hi GROUP BY op.sample_id, op.lo
+   HAVING bool_or(coalesce(s.kept, FALSE)) OR bool_and(s.p IS NOT NULL))),
+ gr AS (SELECT sample_id, p AS inst_id, p AS group_id FROM st WHERE kept
+  UNION ALL SELECT e.sample_id, e.lo AS inst_id, ARG_MAX(e.hi, (e.s, e.hi)) AS group_id FROM e JOIN st h ON h.sample_id = e.sample_id AND h.p = e.hi AND h.kept GROUP BY e.sample_id, e.lo),
+ px AS (SELECT DISTINCT sample_id, group_id, y, x FROM fx_pix JOIN gr USING (sample_id, inst_id) WHERE side = 'dt'),
+ n AS (SELECT sample_id, group_id, MIN(inst_id) AS first_id, COUNT(*) AS members FROM gr GROUP BY sample_id, group_id)
+SELECT sample_id, group_id, COUNT(*) AS area, MIN(x) AS min_x, MIN(y) AS min_y, MAX(x) + 1 AS max_x, MAX(y) + 1 AS max_y, ANY_VALUE(first_id) AS first_id, ANY_VALUE(members) AS members
+FROM px JOIN n USING (sample_id, group_id) GROUP BY sample_id, group_id"""
+
+
+@query("i5_greedy_merge", GREEDY)
 def i5_greedy_merge(spark, sf):
     boxes = view(spark, sf, "fx_cboxes").where("side = 'dt'")
     masks = boxes.select("sample_id", "inst_id", "score", (F.col("inst_id") % 2).alias("category_id"))

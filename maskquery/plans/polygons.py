@@ -408,19 +408,12 @@ UNION ALL SELECT sample_id, inst_id, 1, CAST(x0 + (x1 - x0) // 2 AS DOUBLE), CAS
 UNION ALL SELECT sample_id, inst_id, 0, CAST(x0 AS DOUBLE), CAST(y0 AS DOUBLE), CAST(x1 AS DOUBLE), CAST(y1 AS DOUBLE) FROM {DTC} AND inst_id % 2 = 0""",
 )
 def i16_segmentation_to_polygons(spark, sf):
-    anns = coco_anns(spark, sf)
-    lists = P.segmentation_to_polygons(anns.where("rings IS NOT NULL"))
-    codes = P.segmentation_to_runs(anns.where("rle IS NOT NULL"))
-    outer = P.trace_rings(codes, ["sample_id", "inst_id"], flip=False)
-    both = lists.select("sample_id", "inst_id", "part", "rings").unionByName(
-        outer.select("sample_id", "inst_id", F.lit(0).alias("part"), F.slice("rings", 1, 1).alias("rings"))
-    )
-    return bounds(both, ("sample_id", "inst_id", "part"))
+    return bounds(P.segmentation_to_polygons(coco_anns(spark, sf)), ("sample_id", "inst_id", "part"))
 
 
 @query(
     "j14_crop_section",
-    """SELECT 'px' AS kind, section_id, x - 3 AS a, y - 5 AS b, CAST(v AS DOUBLE) AS c FROM fx_mosaic WHERE band = 'b0' AND x >= 3 AND x < 21 AND y >= 5 AND y < 30
+    """SELECT band AS kind, section_id, x - 3 AS a, y - 5 AS b, CAST(v AS DOUBLE) AS c FROM fx_mosaic WHERE x >= 3 AND x < 21 AND y >= 5 AND y < 30
 UNION ALL SELECT 'poly', sample_id, inst_id, 0, CAST(LEAST(x0 + w, 21) - 3 AS DOUBLE) FROM fx_boxes WHERE side = 'gt' AND x0 < 21 AND x0 + w > 3 AND y0 < 30 AND y0 + h > 5""",
 )
 def j14_crop_section(spark, sf):
@@ -431,10 +424,10 @@ def j14_crop_section(spark, sf):
     box = (3.0, -30.0, 21.0, -5.0)
     lit = F.struct(*[F.lit(v).alias(n) for v, n in zip(box, ("minx", "miny", "maxx", "maxy"))])
     win = spark.range(1).select(bbox_to_window(lit).alias("w")).first()["w"]  # one constant row
-    px = RS.to_long(RS.read_window(tiles(spark, sf).where("band = 'b0'"), win.left, win.top, win.right, win.bottom))
+    px = RS.to_long(RS.read_window(tiles(spark, sf), win.left, win.top, win.right, win.bottom))
     cut = P.clip_features(polys(spark, sf, flip=True), *box)
     moved = cut.withColumn("rings", GE.translate(F.col("rings"), F.lit(-box[0]), F.lit(-box[3])))
-    a = px.select(F.lit("px").alias("kind"), "section_id", F.col("x").alias("a"), F.col("y").alias("b"), F.col("v").cast("double").alias("c"))
+    a = px.select(F.col("band").alias("kind"), "section_id", F.col("x").alias("a"), F.col("y").alias("b"), F.col("v").cast("double").alias("c"))
     return a.unionByName(
         moved.select(F.lit("poly").alias("kind"), F.col("sample_id").alias("section_id"), F.col("feature_id").alias("a"), F.lit(0).alias("b"), GE.ring_bbox(F.col("rings")[0])["maxx"].alias("c"))
     )

@@ -151,13 +151,13 @@ def b3_to_unit_float(spark, sf):
 
 @query(
     "c15_overlay_pixels",
-    """SELECT section_id, y, x, CAST(TRUNC(CASE WHEN v > 130 THEN 0.45e0 * v + 0.55e0 * ((37 * ((x + y) % 7 + 1)) % 255) ELSE v END) AS INT) AS r,
+    """SELECT section_id, band, y, x, CAST(TRUNC(CASE WHEN v > 130 THEN 0.45e0 * v + 0.55e0 * ((37 * ((x + y) % 7 + 1)) % 255) ELSE v END) AS INT) AS r,
  CAST(TRUNC(CASE WHEN v > 130 THEN 0.45e0 * v + 0.55e0 * ((97 * ((x + y) % 7 + 1)) % 255) ELSE v END) AS INT) AS g,
- CAST(TRUNC(CASE WHEN v > 130 THEN 0.45e0 * v + 0.55e0 * ((173 * ((x + y) % 7 + 1)) % 255) ELSE v END) AS INT) AS b FROM fx_mosaic WHERE band = 'b0'""",
+ CAST(TRUNC(CASE WHEN v > 130 THEN 0.45e0 * v + 0.55e0 * ((173 * ((x + y) % 7 + 1)) % 255) ELSE v END) AS INT) AS b FROM fx_mosaic""",
 )
 def c15_overlay_pixels(spark, sf):
-    px = RS.to_long(tiles(spark, sf).where("band = 'b0'"))
-    labels = px.where("v > 130").select("section_id", "y", "x", ((F.col("x") + F.col("y")) % 7 + 1).alias("label"))
+    px = RS.to_long(tiles(spark, sf))
+    labels = px.where("v > 130").select("section_id", "band", "y", "x", ((F.col("x") + F.col("y")) % 7 + 1).alias("label"))
     return RS.overlay_pixels(px, labels)
 
 

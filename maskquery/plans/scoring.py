@@ -94,10 +94,15 @@ def d2_contingency(spark, sf):
     return M.contingency(*scored_inputs(spark, sf))
 
 
-@query("d3_iou_pairs", "SELECT sample_id, gt_id, dt_id, inter, ROUND(iou, 9) AS iou FROM fx_iou")
+@query(
+    "d3_iou_pairs",
+    """SELECT sample_id, gt_id, COUNT(*) AS n, CAST(SUM(dt_id * inter) AS BIGINT) AS s, ROUND(MIN(iou), 9) AS low, ROUND(MAX(iou), 9) AS high
+FROM fx_iou GROUP BY sample_id, gt_id""",
+)
 def d3_iou_pairs(spark, sf):
     gt, dt, _ = scored_inputs(spark, sf)
-    return M.iou_pairs(gt, dt).select("sample_id", "gt_id", "dt_id", "inter", F.round("iou", 9).alias("iou"))
+    per = M.iou_pairs(gt, dt).groupBy("sample_id", "gt_id")
+    return per.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dt_id") * F.col("inter")).alias("s"), F.round(F.min("iou"), 9).alias("low"), F.round(F.max("iou"), 9).alias("high"))
 
 
 MATCHED = """WITH c AS (SELECT i.*, t.thr FROM fx_iou i JOIN fx_thresholds t ON i.iou >= t.thr),

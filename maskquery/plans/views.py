@@ -20,19 +20,25 @@ FRAME_W = 512
 
 # Text both dialects understand.
 COMMON = {
-    # one candidate grain per (order, line), placed on a grid of 56 x 64 cells with a pitch of 8 px
+    # every line of an order is a grain of its own, numbered within its sample
     "fx_grains": """
  SELECT CAST(FLOOR(l_orderkey / 512.0e0) AS INT) AS sample_id,
-        CAST((l_orderkey % 512) * 7 + l_linenumber AS INT) AS inst_id,
-        CAST(MIN(l_suppkey) AS INT) AS sk, CAST(MIN(l_quantity) AS INT) AS q,
-        MAX(l_discount) AS disc, CAST(FLOOR(MIN(l_extendedprice)) AS BIGINT) AS price
- FROM lineitem GROUP BY l_orderkey, l_linenumber""",
+        CAST(ROW_NUMBER() OVER (PARTITION BY FLOOR(l_orderkey / 512.0e0)
+         ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS INT) AS inst_id,
+        CAST(l_suppkey AS INT) AS sk, CAST(l_quantity AS INT) AS q,
+        l_discount AS disc, CAST(FLOOR(l_extendedprice) AS BIGINT) AS price
+ FROM lineitem""",
+    # grains spread over a grid of 56 x 64 cells with a pitch of 8 px
+    "fx_cells": """
+ SELECT sample_id, inst_id, sk, q, disc, price,
+        CAST(FLOOR((inst_id - 1) * 3584.0e0 / COUNT(*) OVER (PARTITION BY sample_id)) AS INT) AS cell
+ FROM fx_grains""",
     "fx_placed": """
  SELECT sample_id, inst_id, sk, q, disc, price,
-        CAST(((inst_id - 1) % 64) * 8 + 1 AS INT) AS x0,
-        CAST(FLOOR((inst_id - 1) / 64.0e0) * 8 + 1 AS INT) AS y0,
+        CAST((cell % 64) * 8 + 1 AS INT) AS x0,
+        CAST(FLOOR(cell / 64.0e0) * 8 + 1 AS INT) AS y0,
         CAST(3 + q % 10 AS INT) AS w, CAST(3 + sk % 10 AS INT) AS h
- FROM fx_grains""",
+ FROM fx_cells""",
     "fx_boxes": """
  SELECT sample_id, 'gt' AS side, inst_id, x0, y0, w, h, CAST(NULL AS DOUBLE) AS score FROM fx_placed
  UNION ALL
@@ -69,11 +75,11 @@ COMMON = {
  SELECT CONCAT('run_', CAST(user_id AS STRING)) AS run, event_id AS line_no,
    CASE WHEN event_type = 'error'
     THEN CONCAT('W0000 Unable to register cuDNN factory ', CAST(event_id AS STRING))
-    ELSE CONCAT('13/13 - 1049s - 81s/step - accuracy: 0.', LPAD(CAST((event_id * 7) % 10000 AS STRING), 4, '0'),
+    ELSE CONCAT('step 40 of 40 (12 min) - accuracy: 0.', LPAD(CAST((event_id * 7) % 10000 AS STRING), 4, '0'),
      ' - loss: 0.', LPAD(CAST((event_id * 11) % 10000 AS STRING), 4, '0'),
      ' - val_accuracy: 0.', LPAD(CAST((event_id * 13) % 10000 AS STRING), 4, '0'),
      ' - val_loss: 0.', LPAD(CAST((event_id * 17) % 10000 AS STRING), 4, '0'),
-     ' - learning_rate: 0.0010') END AS line
+     ' - rate: 0.002') END AS line
  FROM events""",
     # one section per customer
     "fx_sections": """
