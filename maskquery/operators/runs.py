@@ -276,11 +276,11 @@ def rle_decode(rles: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return rows.unionByName(merge_runs(cols, key).select(*rows.columns))
 
 
-def dilate(runs: DataFrame, iterations: int, frames: DataFrame) -> DataFrame:
+def dilate(runs: DataFrame, iterations: int | Column, frames: DataFrame) -> DataFrame:
     """8-neighbour dilation: each run grows by ``iterations`` in every direction, bounded by its frame."""
-    if iterations <= 0:
+    if isinstance(iterations, int) and iterations <= 0:
         return merge_runs(runs, ("sample_id",))
-    n = iterations
+    n = F.lit(iterations) if isinstance(iterations, int) else iterations
     grown = runs.join(frames, "sample_id").select(
         "sample_id",
         "height",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 
 def local_session(cores: str = "8", app: str = "maskquery") -> SparkSession:
@@ -48,3 +49,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *keys)
+
+
+def with_sample(df: DataFrame, rest: str) -> StructType:
+    """A schema of ``sample_id`` as in ``df``, which may be of any type with an order, and further columns."""
+    return StructType([StructField("sample_id", df.schema["sample_id"].dataType), *StructType.fromDDL(rest)])

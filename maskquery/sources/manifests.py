@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskquery.sources.json_items import json_items
+
 TIFF = r"(?i)\.tiff?$"
 
 
@@ -116,6 +118,13 @@ def pair_manifest(entries: DataFrame, folder: str) -> DataFrame:
     )
 
 
+def read_pair_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The pairs of a JSON list file; relative names are taken from the manifest's folder."""
+    keys = ("test_tiff", "tiff", "test_gpkg", "gpkg")
+    items = json_items(spark, path).select("pos", F.from_json("item", ", ".join(f"{k} string" for k in keys)).alias("e"))
+    return pair_manifest(items.select("pos", "e.*"), path.rsplit("/", 1)[0])
+
+
 def dataset_splits(configs: DataFrame) -> DataFrame:
     """Image and label folders of dataset configs ``(config_path, path, split, rel)``."""
     here = F.regexp_replace("config_path", r"/[^/]*$", "")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from maskquery.functions.scalars import is_noise, metric_values
-from maskquery.operators.numbering import numbered
 from maskquery.session import shared_dir
 
 
@@ -38,27 +41,45 @@ def drain(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-def training_metrics(stream: DataFrame) -> DataFrame:
-    """Metric lines of a stream ``(run, line_no, line)`` with the running epoch of each run.
+METRICS = ("accuracy", "loss", "val_accuracy", "val_loss")
+_ROW = "run string, epoch int, " + ", ".join(f"{n} double" for n in METRICS)
 
-    Each batch numbers its own lines from the count of its run so far. The counts after a batch are one small table, a row per run;
-    a batch reads the one before and overwrites its own, so replaying it after a failure gives the same rows.
+
+class _Epochs(StatefulProcessor):
+    """Numbers a run's metric lines on from the count that the state store keeps for the run."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(list(rows)).sort_values("line_no", kind="stable")
+        seen = self.seen.get()[0] if self.seen.exists() else 0
+        self.seen.update((seen + len(batch),))
+        out = pd.DataFrame({"run": key[0], "epoch": (seen + 1 + np.arange(len(batch))).astype(np.int32)})
+        for n in METRICS:
+            out[n] = batch[n].to_numpy()
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def training_metrics(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Metric lines of a stream ``(run, line_no, line)`` with the running epoch of each run, all that is available now.
+
+    The count of a run is keyed state in the state store, so a query that is started again on the same ``folder`` numbers on
+    where it stopped, and a batch that is replayed after a failure gives the same rows. A batch must hold a run's lines in
+    full if they are to be in order; those of one run and batch are sorted in one task, so let the source limit the size of
+    batches.
     """
-    spark, out = stream.sparkSession, _folder(stream.sparkSession)
-    names = ("accuracy", "loss", "val_accuracy", "val_loss")
-    schema = "run string, epoch int, " + ", ".join(f"{n} double" for n in names)
+    spark, out = stream.sparkSession, folder or _folder(stream.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     hits = stream.select("run", "line_no", metric_values(F.col("line")).alias("m")).where("m IS NOT NULL")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        mine = numbered(batch, ["run"], "line_no", "n")
-        seen = s.read.schema("run string, seen long").parquet(f"{out}/counts/{batch_id - 1}") if batch_id else s.createDataFrame([], "run string, seen long")
-        mine = mine.join(seen, "run", "left").na.fill(0, ["seen"])
-        rows = mine.select("run", (F.col("seen") + F.col("n")).cast("int").alias("epoch"), *[F.col("m")[i].alias(c) for i, c in enumerate(names)])
-        rows.write.mode("overwrite").parquet(f"{out}/data/batch_id={batch_id}")
-        own = batch.groupBy("run").agg(F.count(F.lit(1)).alias("seen"))
-        seen.unionByName(own).groupBy("run").agg(F.sum("seen").alias("seen")).write.mode("overwrite").parquet(f"{out}/counts/{batch_id}")
-
-    q = hits.writeStream.foreachBatch(write).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    rows = hits.select("run", "line_no", *[F.col("m")[i].alias(n) for i, n in enumerate(METRICS)])
+    numbered = rows.groupBy("run").transformWithStateInPandas(_Epochs(), outputStructType=_ROW, outputMode="Append", timeMode="None")
+    q = (
+        numbered.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
+        .outputMode("append").trigger(availableNow=True).start()
+    )
     q.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{out}/data/batch_id=*")
+    return spark.read.schema(_ROW).parquet(f"{out}/data")
