@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskquery.operators.choices import mask_places, suppressed
 from maskquery.operators.runs import mask_areas, mask_iom, mask_iou, merge_runs, run_adjacency, union_masks
-from maskquery.session import cut_lineage
+from maskquery.session import cut_lineage, round_table
 
 
 def node_id(sample: Column, inst: Column) -> Column:
@@ -27,16 +27,16 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     back. Both sides of each of these joins are written first, so a shuffle stands right under the join on either side and
     skew-join handling can split the rows of a hub.
     """
-    e = cut_lineage(
+    e = round_table(
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
     )
     while not _is_star(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = cut_lineage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = round_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = round_table(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = round_table(large.groupBy("u").agg(F.min("v").alias("m")))
         moved = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        e = round_table(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     star = e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return nodes.select("id").join(star, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
@@ -43,6 +44,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def round_table(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for the rounds of a loop: unlike a checkpoint it carries nothing of the plan that made
+    it, whose inferred constraints would double from round to round."""
+    path = f"{shared_dir(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` by key over as many tasks as shuffles have (or cores, if more): for small rows that cost much work each, which adaptive
     execution would put into one task."""
