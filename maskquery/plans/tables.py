@@ -124,7 +124,8 @@ def d13_compare_variants(spark, sf):
     """SELECT o_orderkey, s AS section, k AS key, CAST(v AS STRING) AS value FROM (
  SELECT o_orderkey, 'box' AS s, 'map' AS k, o_orderkey % 10 AS v FROM orders UNION ALL
  SELECT o_orderkey, 'box', 'map50', o_custkey FROM orders UNION ALL
- SELECT o_orderkey, 'seg', 'f1', o_custkey % 7 FROM orders WHERE o_orderstatus <> 'P')""",
+ SELECT o_orderkey, 'seg', 'f1', o_custkey % 7 FROM orders WHERE o_orderstatus <> 'P')
+UNION ALL SELECT o_orderkey, '', 'speed', '{"map":1}' FROM orders""",
 )
 def a22_flatten_metric_sections(spark, sf):
     o, c = F.col("o_orderkey").cast("string"), F.col("o_custkey")
