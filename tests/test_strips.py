@@ -66,3 +66,16 @@ def test_codes_of_strips(spark):
             counts[-1] += 1
         want[k] = counts
     assert got == want
+
+
+def test_the_box_fixture_is_one_pass_over_lineitem(spark):
+    """Both sides come from one shuffle, which the window and the count share; the rows are those of the common text."""
+    from maskquery.plans import views
+
+    sf = "/root/testdata/sf0.001"
+    boxes = views.view(spark, sf, "fx_boxes")
+    text = boxes._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Scan parquet") == 1 and text.count("Exchange hashpartitioning") == 1
+    plain = spark.sql(views._with("SELECT * FROM fx_boxes", {**views.COMMON}))
+    assert boxes.schema.simpleString() == plain.schema.simpleString()
+    assert boxes.exceptAll(plain).isEmpty() and plain.exceptAll(boxes).isEmpty()
